@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import secret_scan
+from cairnflow.llm import bpe, packing, secret_scan
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, secret_scan.OP1_SQL),
+    (bpe.op3_bpe_codec, None),
+    (packing.op4_best_fit_packing, None),
 ]
 
 

@@ -170,35 +170,43 @@ def fit(counts: np.ndarray, pats: np.ndarray) -> np.ndarray:
     return x * scale
 
 
+#: From which fraction on a repeat count is rounded up, tried in turn; the plan with fewest sequences is taken.
+ROUND_UP = (1.0, 0.5, 0.0)
+
+
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences) that hold every piece once. counts[n]: pieces of length n."""
     size = len(counts) - 1
-    left, out = counts.astype(np.int64).copy(), []
-
-    def take(lengths: tuple[int, ...], times: int) -> None:
+    open_ = counts.astype(np.int64).copy()
+    full = [((size,), int(open_[size]))] if open_[size] else []
+    open_[size] = 0
+    if not open_.sum():
+        return full
+    pats = patterns(size)
+    pats = pats[((open_[pats] > 0) | (pats == 0)).all(1)]
+    x = fit(open_.astype(float), pats) if len(pats) else np.zeros(0)
+    tried = [rounded(open_, pats, x, up) for up in ROUND_UP]
+    return full + min(tried, key=lambda p: sum(times for _, times in p))
+
+
+def rounded(counts: np.ndarray, pats: np.ndarray, x: np.ndarray, up: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts that the histogram can serve, and the rest packed by best fit."""
+    left, out, order = counts.copy(), [], np.argsort(-x, kind="stable")
+
+    def take(i: int, times: int) -> None:
+        lengths = tuple(int(n) for n in pats[i] if n)
+        times = min(times, *(int(left[n]) // lengths.count(n) for n in lengths))
         if times > 0:
-            out.append((lengths, int(times)))
+            out.append((lengths, times))
             for n in lengths:
                 left[n] -= times
 
-    take((size,), left[size])
-    if left.sum():
-        pats = patterns(size)
-        pats = pats[(left[pats] > 0)[:, 0] & ((left[pats] > 0) | (pats == 0)).all(1)]
-        if len(pats):
-            x = fit(left.astype(float), pats)
-            for i in np.argsort(-x, kind="stable"):
-                if x[i] < 1:
-                    break
-                lengths = tuple(int(n) for n in pats[i] if n)
-                most = min(left[n] // lengths.count(n) for n in lengths)
-                take(lengths, min(int(x[i]), most))
-            for i in np.argsort(-x, kind="stable"):  # what rounding left, where whole patterns are still there
-                if x[i] <= 0:
-                    break
-                lengths = tuple(int(n) for n in pats[i] if n)
-                take(lengths, min(1, min(left[n] // lengths.count(n) for n in lengths)))
-        take_rest(left, size, out)
+    for i in order[: np.count_nonzero(x >= 1)]:
+        take(i, int(x[i]))
+    for i in order[: np.count_nonzero(x > 0)]:
+        if x[i] % 1 > up:
+            take(i, 1)
+    take_rest(left, len(counts) - 1, out)
     return out
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import bpe, packing, secret_scan, topk
+from cairnflow.llm import bpe, packing, quality, secret_scan, topk
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, secret_scan.OP1_SQL),
     (topk.op2_top_k, topk.OP2_SQL),
     (bpe.op3_bpe_codec, None),
     (packing.op4_best_fit_packing, None),
+    (quality.op6_compression_bands, None),
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import bpe, packing, quality, secret_scan, topk
+from cairnflow.llm import bpe, chat, packing, quality, secret_scan, topk
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, secret_scan.OP1_SQL),
@@ -10,6 +10,7 @@ _QUERIES = [
     (bpe.op3_bpe_codec, None),
     (packing.op4_best_fit_packing, None),
     (quality.op6_compression_bands, None),
+    (chat.op9_chat_format, chat.OP9_SQL),
 ]
 
 

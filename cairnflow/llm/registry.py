@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import bpe, chat, packing, quality, secret_scan, topk, toxicity
+from cairnflow.llm import bpe, chat, jaccard_join, packing, quality, secret_scan, topk, toxicity
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, secret_scan.OP1_SQL),
@@ -12,6 +12,7 @@ _QUERIES = [
     (quality.op6_compression_bands, None),
     (chat.op9_chat_format, chat.OP9_SQL),
     (toxicity.op5_toxicity, None),
+    (jaccard_join.op10_jaccard_join, None),
 ]
 
 

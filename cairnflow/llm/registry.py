@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import bpe, chat, jaccard_join, packing, quality, secret_scan, topk, toxicity
+from cairnflow.llm import bpe, chat, jaccard_join, packing, quality, secret_scan, suffix_dedup, topk, toxicity
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, secret_scan.OP1_SQL),
@@ -13,6 +13,7 @@ _QUERIES = [
     (chat.op9_chat_format, chat.OP9_SQL),
     (toxicity.op5_toxicity, None),
     (jaccard_join.op10_jaccard_join, None),
+    (suffix_dedup.op8_suffix_dedup, None),
 ]
 
 

@@ -15,7 +15,8 @@ and no link is lost.
 
 Defined cases: null and empty texts have no set and link with nothing; equal sets are one
 member; a document with fewer words than a shingle has one shingle; an empty table gives an
-empty result; columns other than the named ones are ignored; ids must be distinct integers.
+empty result; columns other than the named ones are ignored; rows without
+an integer id are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,13 +93,14 @@ def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, sh
     schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary()), ("rest", pa.bool_()), ("bucket", pa.int32()), ("signatures", pa.binary()), ("slots", pa.binary())])
 
     def run(batches):
+        batch = TaskContext.get().partitionId() << 32
         for b in batches:
             for a in range(0, b.num_rows, 8192):
-                yield from one(b.slice(a, 8192))
+                yield from one(b.slice(a, 8192), batch)
+                batch += 1
 
-    def one(b):
+    def one(b, batch):
         ids = b.column(0).to_pylist()
-        batch = int(xxhash.xxh3_64_intdigest(np.array(ids, np.int64).tobytes()) >> 1)
         rows, seen, found, owners = [], set(), [], []
         for slot, text_ in enumerate(b.column(1).to_pylist()):
             h = shingles(text_, width)
@@ -122,7 +125,7 @@ def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, sh
                 rows.append((batch, None, None, None, None, None, None, None, int(k), s[i:j].tobytes(), owner[i:j].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, ROWS)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, ROWS)
 
 
 FOUND = "batch long, slot int, batch2 long, slot2 int, set long, batches array<long>, slots array<int>"

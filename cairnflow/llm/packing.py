@@ -9,7 +9,7 @@ per bucket, then a running sum), and ranks map to places by a search in the plan
 depends on the sequence length alone.
 
 Defined cases: a null text is an empty one, which is one piece holding the closing id;
-equal rows are packed each; a longer document is cut into full pieces from its end, so its
+equal rows are packed each; rows without an id are left out; a longer document is cut into full pieces from its end, so its
 first piece may be shorter; an empty table gives an empty result; columns other than the
 named ones are ignored.
 """
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, size: int, close: in
                     start, length, k = start + length, size, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64), pa.int32() if i == 1 else pa.int64()) for i, a in enumerate(out)] if out[0] else [pa.array([], pa.int32() if i == 1 else pa.int64()) for i in range(5)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECE)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECE)
 
 
 def patterns(size: int) -> np.ndarray:

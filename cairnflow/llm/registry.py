@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnflow.llm import bpe, chat, jaccard_join, packing, quality, secret_scan, suffix_dedup, topk, toxicity
+from cairnflow.llm import bpe, chat, jaccard_join, packing, quality, secret_scan, suffix_dedup, topk, toxicity, warc
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, secret_scan.OP1_SQL),
@@ -14,6 +14,7 @@ _QUERIES = [
     (toxicity.op5_toxicity, None),
     (jaccard_join.op10_jaccard_join, None),
     (suffix_dedup.op8_suffix_dedup, None),
+    (warc.op7_warc_derivatives, None),
 ]
 
 

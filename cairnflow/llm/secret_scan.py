@@ -136,6 +136,24 @@ def by_path(paths: DataFrame, findings: DataFrame, base: tuple[Rule, ...] = RULE
     )
 
 
+def masked(docs: DataFrame, path: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every secret in text replaced by its rule's name in brackets, and n_secrets. Overlapping secrets become one."""
+    found = scan(docs, path, text, rules)
+    spans = F.array_sort(F.collect_list(F.struct("start", "rule_order", "end", "rule")))
+    per_blob = found.findings.groupBy("blob_id").agg(spans.alias("_spans")).withColumnRenamed("blob_id", "_blob")
+    body = F.coalesce(F.col(text), F.lit(""))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = F.substring(body, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        tag = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["rule"], F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, tag).alias("out"))
+
+    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+    joined = docs.withColumn("_blob", F.sha2(body, 256)).join(per_blob, "_blob", "left")
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), whole).otherwise(F.col(text))).withColumn("n_secrets", F.coalesce(F.size("_spans"), F.lit(0))).drop("_spans", "_blob")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of documents, each distinct text scanned once."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")

@@ -19,7 +19,7 @@ strings, so a passage in a third of all documents costs one entry per shard. Ins
 done on arrays; equality is that of 64-bit hashes of whole blocks or strings.
 
 Defined cases: null and empty texts have no bytes and nothing to remove; equal rows are repeats
-of the first; documents of equal id go by shard; an empty table gives an empty result; columns other
+of the first; documents of equal id go by shard; rows without an id are left out; an empty table gives an empty result; columns other
 than the named ones are ignored. A document must fit in a task's memory once.
 """
 
@@ -31,8 +31,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,26 +176,27 @@ def packed_shards(docs: DataFrame, key: str, text: str) -> DataFrame:
     """SHARDS rows."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack, n = zstandard.ZstdCompressor(level=3), 0
+        part = TaskContext.get().partitionId()
         for b in batches:
             held, size = [], 0
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 body = row[1].encode()
                 if held and size + len(body) > SHARD:
-                    yield one(held, pack)
-                    held, size = [], 0
+                    yield one(held, part << 32 | n, pack)
+                    held, size, n = [], 0, n + 1
                 held.append((row[0], body))
                 size += len(body)
             if held:
-                yield one(held, pack)
+                yield one(held, part << 32 | n, pack)
+                n += 1
 
-    def one(held, pack):
+    def one(held, shard, pack):
         held.sort(key=lambda r: r[0])
         ids, sizes = np.array([r[0] for r in held], np.int64), np.array([len(r[1]) for r in held], np.int64)
-        shard = xxhash.xxh3_64_intdigest(ids.tobytes()) - 2**63
         return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), pack.compress(b"".join(r[1] for r in held))))], ["shard", "ids", "sizes", "body"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SHARDS)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SHARDS)
 
 
 SENT = "bucket int, shard long, entries binary"
@@ -319,11 +320,18 @@ def covered(s: Shard, equal: np.ndarray, open_: np.ndarray, strings: np.ndarray)
     return np.cumsum(delta[:-1]) > 0
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept "
+#: What kept holds: the remaining bytes, their hexadecimal SHA-256, or what is left of the text without characters that lost a byte.
+FORMS = {
+    "bytes": ("binary", lambda rest: rest),
+    "sha256": ("string", lambda rest: hashlib.sha256(rest).hexdigest()),
+    "text": ("string", lambda rest: rest.decode("utf-8", "ignore")),
+}
 
 
-def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: int = SEED, texts: bool = True) -> DataFrame:
-    """KEPT rows; kept holds the remaining bytes, or their SHA-256 if texts is false."""
+def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: int = SEED, kept: str = "bytes") -> DataFrame:
+    """KEPT rows; kept names one of FORMS."""
+    form_type, form = FORMS[kept]
     spark = docs.sparkSession
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"shards_{uuid.uuid4().hex}"
@@ -345,13 +353,13 @@ def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: in
                     n = int(m.sum())
                     spans = int((m[1:] & ~m[:-1]).sum() + m[:1].sum()) if n else 0
                     rest = s.body[a:z][~m].tobytes() if n else s.raw[a:z]
-                    out.append((int(s.ids[i]), z - a, n, spans, rest if texts else hashlib.sha256(rest).digest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], [x.split()[0] for x in KEPT.split(", ")])
+                    out.append((int(s.ids[i]), z - a, n, spans, form(rest)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, (pa.binary() if form_type == "binary" else pa.string()) if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], [x.split()[0] for x in KEPT.split(", ")])
 
-    return shards.join(told, "shard", "left").select("shard", "ids", "sizes", "body", "k1", "k2", "k3").mapInArrow(run, KEPT)
+    return shards.join(told, "shard", "left").select("shard", "ids", "sizes", "body", "k1", "k2", "k3").mapInArrow(run, KEPT + form_type)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every whole text of documents that repeat 100 earlier ones, removed."""
-    rows = removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", texts=False)
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+    rows = removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", kept="sha256")
+    return rows.withColumnRenamed("kept", "kept_sha256")

@@ -164,12 +164,14 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     for m, v in enumerate(marks):
         for u, x in v.items():
             table[column[u], m] = x
-    rows = np.zeros((len(words), len(column) + 1), np.float32)
-    for n, word in enumerate(words):
-        u, x = features(parts(word)[0])
-        np.add.at(rows[n], of[u], x)
-    rows[:, -1] = 0
-    return rows.astype(np.float64) @ table
+    out = np.zeros((len(words), len(landmarks)))
+    for a in range(0, len(words), 512):
+        rows = np.zeros((len(words[a : a + 512]), len(column) + 1))
+        for n, word in enumerate(words[a : a + 512]):
+            u, x = features(parts(word)[0])
+            np.add.at(rows[n], of[u], x)
+        out[a : a + 512] = rows @ table
+    return out
 
 
 def _machine(words: list[str], y: np.ndarray, importance: np.ndarray, landmarks: list[str]) -> tuple[np.ndarray, float]:
@@ -297,13 +299,13 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return [(set(r["words"]), bool(r["toxic"])) for r in rows.mapInArrow(run, "words array<string>, toxic boolean").toLocalIterator()]
 
 
-def score(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
-    """Per row: its key, score and predicted."""
+def score(docs: DataFrame, key: str, text: str, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: its key, score, predicted and the columns to carry."""
 
     def run(batches):
         known: dict[str, float] = {}
         for b in batches:
-            bags = [words_of(t) for t in b.column(1).to_pylist()]
+            bags = [words_of(t or "") for t in b.column(1).to_pylist()]
             new = set().union(*bags) - known.keys() if bags else set()
             if len(known) + len(new) > TABLE_SIZE:
                 known.clear()
@@ -313,10 +315,11 @@ def score(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
                 known.update(zip(new[a : a + (1 << 16)], model.decide(new[a : a + (1 << 16)]).tolist(), strict=True))
             worst = [max(map(known.__getitem__, bag), default=model.bias) for bag in bags]
             scores = [model.chance(x) for x in worst]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["key", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]], ["key", "score", "predicted", *carry])
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), *carry)
+    also = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double, predicted int" + also).withColumnRenamed("key", key)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:

@@ -7,21 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnflow.plans import relational
 from cairnflow.sources.tables import TABLES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: name -> (Spark SQL, DuckDB SQL or None where the same text runs on both)
-SQL: dict[str, tuple[str, str | None]] = {
-    "flagship_event_rates": (
-        """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value,
-                  round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95
-           FROM events GROUP BY event_type""",
-        None,
-    ),
-}
-
-
 def run_sql(text: str) -> Query:
     """A query that reads its tables from sf_dir; names resolve when it is called."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
@@ -34,9 +24,12 @@ def run_sql(text: str) -> Query:
     return run
 
 
+_TEXTS = {name: (x, x) if isinstance(x, str) else x for name, x in relational.QUERIES.items()}
+
+
 def queries() -> dict[str, Query]:
-    return {name: run_sql(spark_text) for name, (spark_text, _) in SQL.items()}
+    return {name: run_sql(spark_text) for name, (spark_text, _) in _TEXTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck or spark_text for name, (spark_text, duck) in SQL.items()}
+    return {name: duck_text for name, (_, duck_text) in _TEXTS.items()}

@@ -41,7 +41,7 @@ from cairnflow.llm.store import shared_folder, stored
 
 LENGTH, SEED = 100, 32
 #: Bytes of text of a shard, and string starts that are looked at at once.
-SHARD, STEP = 2_000_000, 1 << 21
+SHARD, STEP = 1_000_000, 1 << 19
 
 SHARDS = "shard long, ids binary, sizes binary, body binary"
 _rng = np.random.default_rng(20240229)
@@ -51,7 +51,7 @@ _UNBASE = pow(_BASE, -1, 2**64)
 _INDEX_BITS = 24
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _UNBASE, np.uint64)
     up[0] = down[0] = 1
@@ -63,7 +63,7 @@ class Text:
 
     def __init__(self, body: np.ndarray):
         self.size = len(body)
-        up, self.down = _powers(1 << max(16, (len(body)).bit_length()))
+        up, self.down = _powers(1 << max(20, len(body).bit_length()))
         self.sums = np.zeros(len(body) + 1, np.uint64)
         np.cumsum(_BYTE[body] * up[: len(body)], out=self.sums[1:])
 

@@ -10,7 +10,7 @@ sizes are cut for that band as well. Sets below SMALL elements have one part per
 Sets that share a signature form a bucket. Its first member is compared with all others; links
 are verified on whole texts and joined to classes. Only buckets whose members are still in
 different classes after that are looked at pair by pair, and only pairs of different classes whose
-sizes and 64 part counts allow a link are verified. So a group of n copies costs n comparisons,
+sizes and sketches allow a link are verified. So a group of n copies costs n comparisons,
 and no link is lost.
 
 Defined cases: null and empty texts have no set and link with nothing; equal sets are one
@@ -38,7 +38,7 @@ SMALL, GROWTH, PARTS = 64, 1.6, 0.6
 #: Members of a class that are verified against one first member in one task.
 GROUP = 256
 
-ROWS = "batch long, slot int, doc_id long, n long, d1 long, d2 long, counts binary, rest boolean, bucket int, signatures binary, slots binary"
+ROWS = "batch long, slot int, doc_id long, n long, d1 long, d2 long, sketch binary, rest boolean, bucket int, signatures binary, slots binary"
 
 
 def edges_of(band: int) -> int:
@@ -83,14 +83,38 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _counts(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype(np.uint16).tobytes()
+#: Bytes of a sketch: 64 counts of elements by their hash, and the parity of the counts in 2048 other parts.
+COUNTS, PARITIES = 128, 256
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    counts = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype(np.uint16)
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) & (8 * PARITIES - 1), minlength=8 * PARITIES) & 1
+    return counts.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches of some sets, for bounds on how much these differ: each element that only one of two sets has
+    changes one count by one and one parity."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes]):
+        raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COUNTS + PARITIES)
+        self.n = n
+        self.counts = raw[:, :COUNTS].copy().view(np.uint16).astype(np.int32)
+        self.odd = raw[:, COUNTS:].copy().view(np.uint64)
+
+    def may_link(self, i, other: Sketches, j, share: int) -> np.ndarray:
+        """Whether sizes and sketches leave a link between rows i of this and j of the other possible."""
+        a, b = self.n[i], other.n[j]
+        most = (100 - share) * (a + b) // (100 + share)
+        apart = np.maximum(np.abs(self.counts[i] - other.counts[j]).sum(-1), np.bitwise_count(self.odd[i] ^ other.odd[j]).sum(-1, dtype=np.int64))
+        return (share * np.maximum(a, b) <= 100 * np.minimum(a, b)) & (apart <= most)
 
 
 def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, share: int) -> DataFrame:
     """ROWS: one row per document, and rows of signatures dealt to buckets. Equal sets of a batch
     give their signatures once."""
-    schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary()), ("rest", pa.bool_()), ("bucket", pa.int32()), ("signatures", pa.binary()), ("slots", pa.binary())])
+    schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("rest", pa.bool_()), ("bucket", pa.int32()), ("signatures", pa.binary()), ("slots", pa.binary())])
 
     def run(batches):
         batch = TaskContext.get().partitionId() << 32
@@ -109,7 +133,7 @@ def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, sh
                 continue
             digest = _digest(h)
             s = None if digest in seen else signatures(h, share)
-            rows.append((batch, slot, ids[slot], len(h), *digest, _counts(h), s is None and digest not in seen, None, None, None))
+            rows.append((batch, slot, ids[slot], len(h), *digest, _sketch(h), s is None and digest not in seen, None, None, None))
             seen.add(digest)
             if s is not None:
                 found.append(s)
@@ -205,24 +229,19 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, width: int,
     return rows.mapInArrow(run, "a long, b long")
 
 
-def may_link(a: int, b: int, counts_a: np.ndarray, counts_b: np.ndarray, share: int) -> bool:
-    """Whether sizes and part counts leave a link possible."""
-    return share * max(a, b) <= 100 * min(a, b) and int(np.abs(counts_a - counts_b).sum()) <= differ(a, b, share)
-
-
 def possible(pairs: DataFrame, share: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, n_a, n_b, counts_a, counts_b) that may link."""
+    """(a, b) of the pairs (a, b, n_a, n_b, sketch_a, sketch_b) that may link."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            n1, n2 = b.column(2).to_numpy(), b.column(3).to_numpy()
-            c1, c2 = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, 64).astype(np.int32) for k in (4, 5))
-            ok = (share * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2)) & (np.abs(c1 - c2).sum(1) <= (100 - share) * (n1 + n2) // (100 + share))
+            left, right = (Sketches(b.column(k).to_numpy(), b.column(k + 2).to_pylist()) for k in (2, 3))
+            at = np.arange(b.num_rows)
+            ok = left.may_link(at, right, at, share)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _mixed_pairs(groups: DataFrame, share: int) -> DataFrame:
@@ -235,14 +254,14 @@ def _mixed_pairs(groups: DataFrame, share: int) -> DataFrame:
                 rep = np.array([x["rep"] for x in m])
                 label = np.array([x["class"] for x in m])
                 n = np.array([x["n"] for x in m])
-                c = np.frombuffer(b"".join(x["counts"] for x in m), np.uint16).reshape(-1, 64).astype(np.int32)
+                own = Sketches(n, [x["sketch"] for x in m])
                 for i in range(len(m)):  # sizes ascend, so partners of i lie in one stretch
                     end = int(np.searchsorted(n, n[i] * 100 // share, "right"))
                     j = np.arange(i + 1, end)
                     j = j[label[j] != label[i]]
-                    for a in range(0, len(j), 65536):
-                        k = j[a : a + 65536]
-                        k = k[np.abs(c[k] - c[i]).sum(1) <= (100 - share) * (n[k] + n[i]) // (100 + share)]
+                    for a in range(0, len(j), 16384):
+                        k = j[a : a + 16384]
+                        k = k[own.may_link(k, own, i, share)]
                         if len(k):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[k], rep[i])), pa.array(np.maximum(rep[k], rep[i]))], ["a", "b"])
 
@@ -254,22 +273,22 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(described(docs, key, text, buckets, width, share))
-    each = rows.where("doc_id IS NOT NULL").select("batch", "slot", "doc_id", "n", "d1", "d2", "counts", "rest")
+    each = rows.where("doc_id IS NOT NULL").select("batch", "slot", "doc_id", "n", "d1", "d2", "sketch", "rest")
     equal = each.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    known = stored(each.join(equal, ["d1", "d2"], "left").select("batch", "slot", "doc_id", "n", "rep", "counts", "rest"))
-    small = known.where("n > 0").select("batch", "slot", "rep", "n", "counts")
+    known = stored(each.join(equal, ["d1", "d2"], "left").select("batch", "slot", "doc_id", "n", "rep", "sketch", "rest"))
+    small = known.where("n > 0").select("batch", "slot", "rep", "n", "sketch")
 
     found = stored(buckets_to_pairs(rows, buckets))
-    left = small.select("batch", "slot", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
-    right = small.select(F.col("batch").alias("batch2"), F.col("slot").alias("slot2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
+    left = small.select("batch", "slot", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("sketch").alias("c1"))
+    right = small.select(F.col("batch").alias("batch2"), F.col("slot").alias("slot2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("sketch").alias("c2"))
     named = found.where("set IS NULL").select("batch", "slot", "batch2", "slot2").distinct().join(left, ["batch", "slot"]).join(right, ["batch2", "slot2"])
     paired = named.where("r1 <> r2").select(*_ordered("r1", "n1", "c1", "r2", "n2", "c2"))
     # sets that no band could cut are compared with all of fitting size
-    rest = known.where("rest").select("rep", "n", "counts").dropDuplicates(["rep"])
+    rest = known.where("rest").select("rep", "n", "sketch").dropDuplicates(["rep"])
     if not rest.isEmpty():
         band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.25)))
-        left_ = rest.select(F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("counts").alias("c1"), F.explode(F.array(*[band(F.col("n")) + i for i in (-1, 0, 1)])).alias("band"))
-        all_ = known.where("n > 0 AND doc_id = rep").select(F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("counts").alias("c2"), band(F.col("n")).alias("band"))
+        left_ = rest.select(F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("sketch").alias("c1"), F.explode(F.array(*[band(F.col("n")) + i for i in (-1, 0, 1)])).alias("band"))
+        all_ = known.where("n > 0 AND doc_id = rep").select(F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("sketch").alias("c2"), band(F.col("n")).alias("band"))
         paired = paired.union(left_.join(all_, "band").where(f"r1 <> r2 AND {share} * greatest(n1, n2) <= 100 * least(n1, n2)").select(*_ordered("r1", "n1", "c1", "r2", "n2", "c2")))
     tested = possible(paired.dropDuplicates(["a", "b"]), share)
     links = stored(verified(docs, key, text, tested, width, share))
@@ -280,10 +299,10 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int
     sets = found.where("set IS NOT NULL").dropDuplicates(["set"]).select("set", F.explode(members).alias("m")).select("set", "m.batch", "m.slot")
     placed = (
         sets.join(small, ["batch", "slot"]).join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("set", "rep", "n", "counts", F.coalesce("component", "rep").alias("class")).dropDuplicates(["set", "rep"])
+        .select("set", "rep", "n", "sketch", F.coalesce("component", "rep").alias("class")).dropDuplicates(["set", "rep"])
     )
     several = placed.groupBy("set").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("set")
-    groups = placed.join(several, "set").groupBy("set").agg(F.collect_list(F.struct("rep", "class", "n", "counts")).alias("members"))
+    groups = placed.join(several, "set").groupBy("set").agg(F.collect_list(F.struct("rep", "class", "n", "sketch")).alias("members"))
     more = stored(_mixed_pairs(groups, share))
     if not more.isEmpty():
         links = links.union(stored(verified(docs, key, text, more, width, share)))
@@ -294,7 +313,7 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int
 def _ordered(r1: str, n1: str, c1: str, r2: str, n2: str, c2: str) -> list:
     less = F.col(r1) < F.col(r2)
     pick = lambda x, y, name: F.when(less, F.col(x)).otherwise(F.col(y)).alias(name)
-    return [pick(r1, r2, "a"), pick(r2, r1, "b"), pick(n1, n2, "n_a"), pick(n2, n1, "n_b"), pick(c1, c2, "counts_a"), pick(c2, c1, "counts_b")]
+    return [pick(r1, r2, "a"), pick(r2, r1, "b"), pick(n1, n2, "n_a"), pick(n2, n1, "n_b"), pick(c1, c2, "sketch_a"), pick(c2, c1, "sketch_b")]
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,8 +114,8 @@ def instant(s: Series, times: Times, lookback: int, offset: int = 0, at: int | N
         return _spread(instant(s, Times(at, at), lookback, offset), times)
     w = windows(s, times, lookback, offset)
     stale = F.col("stale") if "stale" in s.df.columns else F.lit(False)
-    got = w.groupBy(*s.labels, "t").agg(F.max_by(F.struct("value", stale.alias("stale")), "ts").alias("x"))
-    return Vector(got.where(~F.col("x.stale")).select(*s.labels, "t", F.col("x.value").alias("value")), s.labels)
+    got = w.groupBy(*s.labels, "t").agg(F.max_by(F.struct("value", stale.alias("stale")), "ts").alias("_last"))
+    return Vector(got.where(~F.col("_last.stale")).select(*s.labels, "t", F.col("_last.value").alias("value")), s.labels)
 
 
 def _spread(v: Vector, times: Times) -> Vector:
@@ -408,8 +408,8 @@ def histogram_quantile(v: Vector, q: float, le: str = "le") -> Vector:
     by_le = whole.orderBy("_le")
     steps = up.select(*keys, "t", "_le", "c", F.lag("_le").over(by_le).alias("low"), F.lag("c", 1, 0.0).over(by_le).alias("before"), F.max("c").over(whole).alias("total"), F.max("_le").over(whole).alias("top"), F.count("*").over(whole).alias("n"))
     rank = F.lit(q) * F.col("total")
-    hit = steps.where(F.col("c") >= rank).groupBy(*keys, "t").agg(F.min_by(F.struct("_le", "c", "low", "before", "total", "top", "n"), "_le").alias("b"))
-    b = F.col("b")
+    hit = steps.where(F.col("c") >= rank).groupBy(*keys, "t").agg(F.min_by(F.struct("_le", "c", "low", "before", "total", "top", "n"), "_le").alias("_b"))
+    b = F.col("_b")
     start = F.coalesce(b["low"], F.when(b["_le"] > 0, F.lit(0.0)).otherwise(b["_le"]))
     inside = start + (b["_le"] - start) * F.try_divide(F.lit(q) * b["total"] - b["before"], b["c"] - b["before"])
     value = F.when((b["top"] != INF) | (b["n"] < 2) | (b["total"] == 0), F.lit(NAN)).when(b["_le"] == INF, b["low"]).when(b["low"].isNull() & (b["_le"] <= 0), b["_le"]).otherwise(inside)

@@ -94,4 +94,4 @@ def certified_semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) ->
 
 def latest_per_series(s: Series) -> DataFrame:
     """The current population: each series' latest sample, to be ranked or summed."""
-    return s.df.groupBy(*s.labels).agg(F.max_by(F.struct("value", "ts"), "ts").alias("x")).select(*s.labels, F.col("x.value").alias("value"), F.col("x.ts").alias("ts"))
+    return s.df.groupBy(*s.labels).agg(F.max_by(F.struct("value", "ts"), "ts").alias("_last")).select(*s.labels, F.col("_last.value").alias("value"), F.col("_last.ts").alias("ts"))

@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context.get() if context.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """spark.checkpoint.dir; where it is unset, as in tests, one new temporary folder per application."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    context = spark.sparkContext
+    if (set_ := context._jsc.sc().getCheckpointDir()).isDefined():
+        return set_.get()
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _own[context.applicationId]
 
 
 def stored(df: DataFrame) -> DataFrame:

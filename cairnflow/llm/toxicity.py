@@ -20,6 +20,8 @@ the named ones are ignored.
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,6 +118,8 @@ class Model:
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The decision for each word."""
+        if len(words) > 1 << 15:
+            return np.concatenate([self.decide(words[a : a + (1 << 15)]) for a in range(0, len(words), 1 << 15)])
         out = np.full(len(words), -np.inf)
         by_size: dict[int, list[tuple[int, str]]] = {}
         for at, word in enumerate(words):
@@ -210,12 +214,11 @@ def _noisy(word: str, rng: np.random.Generator) -> str:
     return word[:at] + mark + word[at:]
 
 
-def train(bags: list[tuple[set[str], bool]], seed: int = 7) -> Model:
+def train(bags: Iterable[tuple[Iterable[str], bool]], seed: int = 7) -> Model:
     """A model from (distinct words, toxic) of labelled texts. Its logistic is fitted on bags that a
     machine of the other bags decides."""
-    unique = {(frozenset(w), y) for w, y in bags if w}
-    toxic = sorted((sorted(w) for w, y in unique if y), key=str)
-    clean = sorted((sorted(w) for w, y in unique if not y), key=str)
+    unique = {(tuple(sorted(w)), y) for w, y in bags if w}
+    toxic, clean = (sorted(w for w, y in unique if y is side) for side in (True, False))
     if len(toxic) < 2 or len(clean) < 2:
         return Model(np.zeros(SYMBOLS**3), -1.0, 0.0, -50.0)
     part = fit(toxic[::2], clean[::2], seed, 2)
@@ -228,7 +231,7 @@ def train(bags: list[tuple[set[str], bool]], seed: int = 7) -> Model:
     return model
 
 
-def fit(toxic: list[list[str]], clean: list[list[str]], seed: int, rounds: int) -> Model:
+def fit(toxic: list[tuple[str, ...]], clean: list[tuple[str, ...]], seed: int, rounds: int) -> Model:
     """A machine over words from toxic and clean bags, without a logistic."""
     rng = np.random.default_rng(seed)
     count: dict[str, list[int]] = {}
@@ -284,7 +287,7 @@ def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MAX_BAGS) -> list[tuple[set[str], bool]]:
+def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MAX_BAGS) -> list[tuple[tuple[str, ...], bool]]:
     """Up to `most` texts of either class, in order of a hash of the id, as bags of distinct words."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), (F.col(label) == 1).alias("toxic"))
     sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y in (True, False)]
@@ -296,7 +299,8 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
             bags = [sorted(words_of(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.string())), b.column(2)], ["words", "toxic"])
 
-    return [(set(r["words"]), bool(r["toxic"])) for r in rows.mapInArrow(run, "words array<string>, toxic boolean").toLocalIterator()]
+    found = rows.mapInArrow(run, "words array<string>, toxic boolean").toLocalIterator()
+    return [(tuple(map(sys.intern, r["words"])), bool(r["toxic"])) for r in found]  # one object per word, not per text
 
 
 def score(docs: DataFrame, key: str, text: str, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:

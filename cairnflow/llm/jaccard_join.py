@@ -8,10 +8,10 @@ differ in; two similar sets then share one, whichever of them has its first part
 sizes are cut for that band as well. Sets below SMALL elements have one part per element.
 
 Sets that share a signature form a bucket. Its first member is compared with all others; links
-are verified on whole texts and joined to classes. Only buckets whose members are still in
-different classes after that are looked at pair by pair, and only pairs of different classes whose
-sizes and sketches allow a link are verified. So a group of n copies costs n comparisons,
-and no link is lost.
+are verified on whole texts and joined to classes. Buckets whose members are still in different classes
+are looked at again: twice the nearest pairs by sketches that would connect their classes are
+verified, as many as members at most, and at last all pairs of different classes whose sizes
+and sketches allow a link. So a group of n copies costs about n comparisons, and no link is lost.
 
 Defined cases: null and empty texts have no set and link with nothing; equal sets are one
 member; a document with fewer words than a shingle has one shingle; an empty table gives an
@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnflow.llm.bpe import Memo
 from cairnflow.llm.components import components
 from cairnflow.llm.shingles import mixed, shingles
 from cairnflow.llm.store import stored
@@ -37,6 +38,10 @@ WIDTH, SHARE = 5, 80
 SMALL, GROWTH, PARTS = 64, 1.6, 0.6
 #: Members of a class that are verified against one first member in one task.
 GROUP = 256
+#: Up to this many ids are broadcast to filter texts before the join; beyond it all texts are shuffled.
+FEW = 200_000
+#: Nearest classes to which a member offers a connecting pair; the last round offers all.
+NEAREST = 8
 
 ROWS = "batch long, slot int, doc_id long, n long, d1 long, d2 long, sketch binary, rest boolean, bucket int, signatures binary, slots binary"
 
@@ -208,19 +213,25 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, width: int,
         pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), "b")
         .union(sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.col("a").alias("b")))
     )
+    asked = stored(asked)
     texts = docs.select(F.col(key).cast("long").alias("b"), F.col(text).alias("text"))
+    wanted = asked.select("b").distinct()
+    if wanted.limit(FEW + 1).count() <= FEW:  # then other texts needn't be shuffled
+        texts = texts.join(F.broadcast(wanted), "b", "left_semi")
     rows = asked.join(texts, "b").repartition("a", "salt").withColumn("other", F.col("a") != F.col("b")).sortWithinPartitions("a", "salt", "other").select("a", "b", "text")
 
     def run(batches):
+        known = Memo(lambda t: shingles(t, width), 2000)  # texts come back in other groups
+        of = lambda t: known[t] if len(t) < 20_000 else shingles(t, width)
         now, own = None, None
         for b in batches:
             out = []
             for i, j, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if i == j:
-                    now, own = i, shingles(t, width)
+                    now, own = i, of(t)
                     continue
                 assert i == now
-                other = shingles(t, width)
+                other = of(t)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * both >= share * (len(own) + len(other) - both):
                     out.append((i, j))
@@ -244,26 +255,56 @@ def possible(pairs: DataFrame, share: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _mixed_pairs(groups: DataFrame, share: int) -> DataFrame:
-    """(a, b): pairs of a group (members: rep, class, n, counts) of different classes that may link."""
+def _mixed_pairs(groups: DataFrame, share: int, forest: bool) -> DataFrame:
+    """(a, b): pairs of a group (members: rep, class, n, sketch) of different classes that may link. forest: of these
+    only the nearest ones by their sketches that connect the group's classes, fewer than it has members."""
 
     def run(batches):
         for batch in batches:
             for m in batch.column(0).to_pylist():
-                m.sort(key=lambda x: x["n"])
-                rep = np.array([x["rep"] for x in m])
-                label = np.array([x["class"] for x in m])
-                n = np.array([x["n"] for x in m])
-                own = Sketches(n, [x["sketch"] for x in m])
-                for i in range(len(m)):  # sizes ascend, so partners of i lie in one stretch
-                    end = int(np.searchsorted(n, n[i] * 100 // share, "right"))
-                    j = np.arange(i + 1, end)
-                    j = j[label[j] != label[i]]
-                    for a in range(0, len(j), 16384):
-                        k = j[a : a + 16384]
-                        k = k[own.may_link(k, own, i, share)]
-                        if len(k):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[k], rep[i])), pa.array(np.maximum(rep[k], rep[i]))], ["a", "b"])
+                for i, j in pairs(m):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    def pairs(m):
+        m.sort(key=lambda x: x["n"])
+        rep, label, n = (np.array([x[c] for x in m]) for c in ("rep", "class", "n"))
+        own = Sketches(n, [x["sketch"] for x in m])
+        left, right, apart = [], [], []
+        for i in range(len(m)):  # sizes ascend, so partners of i lie in one stretch
+            end = int(np.searchsorted(n, n[i] * 100 // share, "right"))
+            j = np.arange(i + 1, end)
+            j = j[label[j] != label[i]]
+            for a in range(0, len(j), 16384):
+                k = j[a : a + 16384]
+                k = k[own.may_link(k, own, i, share)]
+                if forest and len(k):
+                    # the nearest member of each other class will do
+                    d = np.bitwise_count(own.odd[k] ^ own.odd[i]).sum(-1, dtype=np.int64) / (n[k] + n[i])
+                    order = np.argsort(d, kind="stable")
+                    k, d = k[order], d[order]
+                    first = np.sort(np.unique(label[k], return_index=True)[1])[:NEAREST]
+                    left.append(np.full(len(first), i))
+                    right.append(k[first])
+                    apart.append(d[first])
+                elif len(k):
+                    yield np.full(len(k), rep[i]), rep[k]
+        if left:
+            i, j, d = map(np.concatenate, (left, right, apart))
+            top = {x: x for x in label.tolist()}
+
+            def find(x):
+                while top[x] != x:
+                    top[x] = x = top[top[x]]
+                return x
+
+            kept = []
+            for e in np.argsort(d, kind="stable").tolist():
+                x, y = find(int(label[i[e]])), find(int(label[j[e]]))
+                if x != y:
+                    top[x] = y
+                    kept.append(e)
+            yield rep[i[kept]], rep[j[kept]]
 
     return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
@@ -296,17 +337,20 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int
 
     # signatures whose members are in different classes yet
     members = F.arrays_zip(F.col("batches").alias("batch"), F.col("slots").alias("slot"))
+    places = small.select("batch", "slot", "rep")
+    described_ = known.where("n > 0 AND doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep"])
     sets = found.where("set IS NOT NULL").dropDuplicates(["set"]).select("set", F.explode(members).alias("m")).select("set", "m.batch", "m.slot")
-    placed = (
-        sets.join(small, ["batch", "slot"]).join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("set", "rep", "n", "sketch", F.coalesce("component", "rep").alias("class")).dropDuplicates(["set", "rep"])
-    )
-    several = placed.groupBy("set").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("set")
-    groups = placed.join(several, "set").groupBy("set").agg(F.collect_list(F.struct("rep", "class", "n", "sketch")).alias("members"))
-    more = stored(_mixed_pairs(groups, share))
-    if not more.isEmpty():
-        links = links.union(stored(verified(docs, key, text, more, width, share)))
-        label = components(links, "a", "b")
+    named_sets = stored(sets.join(places, ["batch", "slot"]).select("set", "rep").distinct())
+    for forest in (True, True, False):  # connecting pairs first; the last round leaves out none
+        placed = named_sets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set", "rep", F.coalesce("component", "rep").alias("class"))
+        several = placed.groupBy("set").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("set")
+        groups = placed.join(several, "set").join(described_, "rep").groupBy("set").agg(F.collect_list(F.struct("rep", "class", "n", "sketch")).alias("members"))
+        more = stored(_mixed_pairs(groups, share, forest))
+        if more.isEmpty():
+            break  # no pair of different classes may link, in any round
+        new = stored(verified(docs, key, text, more, width, share))
+        if not new.isEmpty():
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "a", "b")
     return known.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 

@@ -12,7 +12,8 @@ distance of it, and those boundary rows are scored exactly.
 Blocks of queries meet blocks of rows (a stated query set against all rows); each pair yields
 k rows per query at most.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part;
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do
+rows without an id;
 vectors meet only queries with as many components; equal vectors tie, and ties go to the
 smaller id; an empty table gives an empty result; other columns are ignored.
 """
@@ -35,7 +36,7 @@ def whole_vectors(rows: DataFrame, key: str, vector: str, scale: int) -> DataFra
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fixed = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     v: Column = F.when(F.col(vector).isNotNull() & finite, fixed)
-    return rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("v IS NOT NULL").select("id", F.size("v").alias("dim"), "v")
+    return rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL").select("id", F.size("v").alias("dim"), "v")
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:

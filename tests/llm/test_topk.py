@@ -39,3 +39,8 @@ def test_fewer_rows_than_k_and_empty(spark):
     rows = [(0, [1.0, 2.0], 1, "x"), (1, [0.5, 0.5], 1, "x")]
     assert got(spark, rows, 10) == brute(rows, 10)
     assert got(spark, [(0, None, 1, "x")], 10) == {}
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0], 1, "x") for i in range(0, 300, 50)]
+    assert got(spark, [*rows, (None, [9.0, 9.0], 1, "x"), (None, [0.0, 0.0], 1, "x")], 10) == brute(rows, 10)

@@ -11,7 +11,8 @@ Sets that share a signature form a bucket. Its first member is compared with all
 are verified on whole texts and joined to classes. Buckets whose members are still in different classes
 are looked at again: twice the nearest pairs by sketches that would connect their classes are
 verified, as many as members at most, and at last all pairs of different classes whose sizes
-and sketches allow a link. So a group of n copies costs about n comparisons, and no link is lost.
+and sketches allow a link. A large set of members is cut into blocks for that, which meet in rows of their own, and members of its
+largest class meet only the others. So a group of n copies costs about n comparisons, and no link is lost.
 
 Defined cases: null and empty texts have no set and link with nothing; equal sets are one
 member; a document with fewer words than a shingle has one shingle; an empty table gives an
@@ -42,6 +43,8 @@ GROUP = 256
 FEW = 200_000
 #: Nearest classes to which a member offers a connecting pair; the last round offers all.
 NEAREST = 8
+#: Members of a set that are compared with as many others in one task, and members in one row of FOUND.
+BLOCK, CHUNK = 2048, 4096
 
 ROWS = "batch long, slot int, doc_id long, n long, d1 long, d2 long, sketch binary, rest boolean, bucket int, signatures binary, slots binary"
 
@@ -157,13 +160,13 @@ def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, sh
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, ROWS)
 
 
-FOUND = "batch long, slot int, batch2 long, slot2 int, set long, batches array<long>, slots array<int>"
+FOUND = "batch long, slot int, batch2 long, slot2 int, set long, part int, batches array<long>, slots array<int>"
 
 
 def buckets_to_pairs(rows: DataFrame, buckets: int) -> DataFrame:
-    """FOUND: the pairs of a bucket's first member with the others, and the members of each signature that has three or more."""
+    """FOUND: the pairs of a bucket's first member with the others, and the members of each signature that has three or more, in parts of CHUNK."""
     dealt = rows.where("bucket IS NOT NULL").select("bucket", "batch", "signatures", "slots").repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
-    schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("batch2", pa.int64()), ("slot2", pa.int32()), ("set", pa.int64()), ("batches", pa.list_(pa.int64())), ("slots", pa.list_(pa.int32()))])
+    schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("batch2", pa.int64()), ("slot2", pa.int32()), ("set", pa.int64()), ("part", pa.int32()), ("batches", pa.list_(pa.int64())), ("slots", pa.list_(pa.int32()))])
 
     def run(batches):
         now, held = None, []
@@ -191,16 +194,16 @@ def buckets_to_pairs(rows: DataFrame, buckets: int) -> DataFrame:
             return
         pairs = np.unique(np.stack([batch[hub[other]], slot[hub[other]], batch[other], slot[other]], 1), axis=0)
         n = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)), pa.array(pairs[:, 2]), pa.array(pairs[:, 3].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)), pa.array(pairs[:, 2]), pa.array(pairs[:, 3].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
         many = {}
         for i, k in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = batch[i : i + k], slot[i : i + k]
             many[xxhash.xxh3_64_intdigest(own[0].tobytes() + own[1].tobytes()) - 2**63] = own
-        sets = list(many.items())
+        sets = [(x, k, batches[k * CHUNK : (k + 1) * CHUNK], slots[k * CHUNK : (k + 1) * CHUNK]) for x, (batches, slots) in many.items() for k in range(-(-len(batches) // CHUNK))]
         for a in range(0, len(sets), 1000):
             some = sets[a : a + 1000]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none.cast(pa.int32()), pa.array([x for x, _ in some], pa.int64()), pa.array([x[0] for _, x in some], pa.list_(pa.int64())), pa.array([x[1] for _, x in some], pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none.cast(pa.int32()), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([x[2] for x in some], pa.list_(pa.int64())), pa.array([x[3] for x in some], pa.list_(pa.int32()))], schema=schema)
 
     return dealt.mapInArrow(run, FOUND)
 
@@ -255,26 +258,75 @@ def possible(pairs: DataFrame, share: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _mixed_pairs(groups: DataFrame, share: int, forest: bool) -> DataFrame:
-    """(a, b): pairs of a group (members: rep, class, n, sketch) of different classes that may link. forest: of these
-    only the nearest ones by their sketches that connect the group's classes, fewer than it has members."""
+WORK = ("set", "low", "high", "block", "rep", "class", "n", "sketch")
+
+
+def work_rows(placed: DataFrame, described_: DataFrame, forest: bool) -> DataFrame:
+    """WORK: the members (set, rep, class) of sets of several classes, once for each pair of blocks (low, high) they are compared in.
+
+    A set of up to BLOCK members is one block. A larger one is cut into blocks of about BLOCK: first those of members outside
+    its largest class, then those of that class, and two blocks of the largest class never meet. forest: each
+    block outside meets itself and one block of the largest class only.
+    """
+    sizes = placed.groupBy("set", "class").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("set").agg(F.sum("k").alias("m"), F.count("*").alias("labels"), F.max(F.struct("k", "class")).alias("top")).where("labels > 1")
+    outside = f"CAST(ceil((m - top.k) / {BLOCK}) AS INT)"
+    inside = f"CAST(ceil(top.k / {BLOCK}) AS INT)"
+    cut = largest.select("set", "labels", F.col("top.class").alias("largest"), F.expr(f"IF(m <= {BLOCK}, 0, {outside})").alias("outside"), F.expr(f"IF(m <= {BLOCK}, 1, {inside})").alias("inside"))
+    out = F.col("class") != F.col("largest")
+    dealt = (
+        placed.join(cut, "set")
+        .withColumn("block", F.when(F.col("outside") == 0, 0).when(out, F.pmod(F.xxhash64("rep"), F.col("outside"))).otherwise(F.col("outside") + F.pmod(F.xxhash64("rep"), F.col("inside"))).cast("int"))
+    )
+    o, i, own = F.col("outside"), F.col("inside"), F.col("block")
+    if forest:
+        # outside block x meets x and o + x % i; so a block of the largest class meets every i-th block outside
+        others = F.when(out, F.array(own, o + F.pmod(own, i))).when(own - o < o, F.sequence(own - o, o - 1, i))
+    else:
+        # blocks outside meet one another only where these hold several classes
+        others = F.when(~out, F.sequence(F.lit(0), o - 1)).when(F.col("labels") > 2, F.sequence(F.lit(0), o + i - 1)).otherwise(F.sequence(o, o + i - 1))
+    met = dealt.withColumn("other", F.explode(F.when(o == 0, F.array(F.lit(0))).otherwise(others)))
+    return met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(described_, "rep").select(*WORK)
+
+
+def _mixed_pairs(work: DataFrame, share: int, forest: bool) -> DataFrame:
+    """(a, b): pairs of work_rows() of different classes that may link. forest: of these only the nearest ones by
+    their sketches that connect the classes of a pair of blocks, fewer than it has members."""
 
     def run(batches):
+        now, held = None, []
         for batch in batches:
-            for m in batch.column(0).to_pylist():
-                for i, j in pairs(m):
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-
-    def pairs(m):
-        m.sort(key=lambda x: x["n"])
-        rep, label, n = (np.array([x[c] for x in m]) for c in ("rep", "class", "n"))
-        own = Sketches(n, [x["sketch"] for x in m])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            columns = [batch.column(c).to_numpy() for c in range(3, 7)]
+            sketches = batch.column(7).to_pylist()
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if now != (key := tuple(keys[a].tolist())):
+                    yield from told(now, held)
+                    now, held = key, []
+                held.append(([c[a:z] for c in columns], sketches[a:z]))
+        yield from told(now, held)
+
+    def told(now, held):
+        if held:
+            columns = [np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)]
+            for i, j in pairs(now[1] != now[2], *columns, [x for _, some in held for x in some]):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    def pairs(across, block, rep, label, n, sketches):
+        order = np.argsort(n, kind="stable")
+        block, rep, label, n = block[order], rep[order], label[order], n[order]
+        own = Sketches(n, [sketches[x] for x in order.tolist()])
         left, right, apart = [], [], []
-        for i in range(len(m)):  # sizes ascend, so partners of i lie in one stretch
+        for i in range(len(n)):  # sizes ascend, so partners of i lie in one stretch
             end = int(np.searchsorted(n, n[i] * 100 // share, "right"))
             j = np.arange(i + 1, end)
             j = j[label[j] != label[i]]
+            if across:  # each block meets itself elsewhere
+                j = j[block[j] != block[i]]
             for a in range(0, len(j), 16384):
                 k = j[a : a + 16384]
                 k = k[own.may_link(k, own, i, share)]
@@ -306,7 +358,8 @@ def _mixed_pairs(groups: DataFrame, share: int, forest: bool) -> DataFrame:
                     kept.append(e)
             yield rep[i[kept]], rep[j[kept]]
 
-    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+    keys = WORK[:3]
+    return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -339,13 +392,11 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int
     members = F.arrays_zip(F.col("batches").alias("batch"), F.col("slots").alias("slot"))
     places = small.select("batch", "slot", "rep")
     described_ = known.where("n > 0 AND doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep"])
-    sets = found.where("set IS NOT NULL").dropDuplicates(["set"]).select("set", F.explode(members).alias("m")).select("set", "m.batch", "m.slot")
+    sets = found.where("set IS NOT NULL").dropDuplicates(["set", "part"]).select("set", F.explode(members).alias("m")).select("set", "m.batch", "m.slot")
     named_sets = stored(sets.join(places, ["batch", "slot"]).select("set", "rep").distinct())
     for forest in (True, True, False):  # connecting pairs first; the last round leaves out none
         placed = named_sets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set", "rep", F.coalesce("component", "rep").alias("class"))
-        several = placed.groupBy("set").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("set")
-        groups = placed.join(several, "set").join(described_, "rep").groupBy("set").agg(F.collect_list(F.struct("rep", "class", "n", "sketch")).alias("members"))
-        more = stored(_mixed_pairs(groups, share, forest))
+        more = stored(_mixed_pairs(work_rows(placed, described_, forest), share, forest))
         if more.isEmpty():
             break  # no pair of different classes may link, in any round
         new = stored(verified(docs, key, text, more, width, share))

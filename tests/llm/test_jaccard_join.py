@@ -99,3 +99,33 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("forest", [False, True])
+@pytest.mark.parametrize("others", [[2] * 130, [2 + i % 40 for i in range(130)]])
+def test_large_sets_are_compared_in_blocks(spark, monkeypatch, forest, others):
+    monkeypatch.setattr(j, "BLOCK", 50)
+    label = dict(enumerate([1] * 500 + others))
+    placed = spark.createDataFrame([(9, k, c) for k, c in label.items()] + [(8, k, 1 + k % 2) for k in range(20)] + [(7, k, 1) for k in range(90)], "set long, rep long, class long")
+    described_ = spark.createDataFrame([(k, 100, b"") for k in label], "rep long, n long, sketch binary")
+    work = {}
+    for r in j.work_rows(placed, described_, forest).collect():
+        work.setdefault((r["set"], r["low"], r["high"]), []).append((r["block"], r["rep"]))
+    assert {k for k in work if k[0] != 9} == {(8, 0, 0)} and len(work[8, 0, 0]) == 20
+    met = []
+    for (set_, low, high), m in work.items():
+        assert len(m) < 4 * j.BLOCK and {b for b, _ in m} <= {low, high}
+        if set_ == 9:
+            assert {label[rep] for _, rep in m} != {1}  # the largest class isn't compared with itself
+            met += [(min(x, y), max(x, y)) for b, x in m for c, y in m if label[x] != label[y] and (x < y if low == high else b < c)]
+    assert len(met) == len(set(met))
+    if not forest:
+        assert set(met) == {(x, y) for x in label for y in label if x < y and label[x] != label[y]}
+
+
+def test_small_blocks_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK", 4)
+    monkeypatch.setattr(j, "CHUNK", 3)
+    texts = corpus(4)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.classes(df, "doc_id", "text").collect()} == brute(texts)

@@ -172,31 +172,44 @@ def _read(blob: bytes, wide: int, narrow: int) -> list[np.ndarray]:
     return out
 
 
-def packed_shards(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """SHARDS rows."""
+def packed_shards(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """SHARDS rows; with carry also `extra`, these columns of the documents as an Arrow stream."""
+    names = ["shard", "ids", "sizes", "body", *["extra"] * bool(carry)]
 
     def run(batches):
         pack, n = zstandard.ZstdCompressor(level=3), 0
         part = TaskContext.get().partitionId()
         for b in batches:
             held, size = [], 0
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, row in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 body = row[1].encode()
                 if held and size + len(body) > SHARD:
-                    yield one(held, part << 32 | n, pack)
+                    yield one(held, part << 32 | n, pack, b)
                     held, size, n = [], 0, n + 1
-                held.append((row[0], body))
+                held.append((row[0], body, i))
                 size += len(body)
             if held:
-                yield one(held, part << 32 | n, pack)
+                yield one(held, part << 32 | n, pack, b)
                 n += 1
 
-    def one(held, shard, pack):
+    def one(held, shard, pack, b):
         held.sort(key=lambda r: r[0])
         ids, sizes = np.array([r[0] for r in held], np.int64), np.array([len(r[1]) for r in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), pack.compress(b"".join(r[1] for r in held))))], ["shard", "ids", "sizes", "body"])
+        blobs = [ids.tobytes(), sizes.tobytes(), pack.compress(b"".join(r[1] for r in held))]
+        if carry:
+            sink, extra = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(b.columns[2:], list(carry)).take(pa.array([r[2] for r in held]))
+            with pa.ipc.new_stream(sink, extra.schema) as stream:
+                stream.write_batch(extra)
+            blobs.append(pack.compress(sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x], pa.binary()) for x in blobs)], names)
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SHARDS)
+    kept = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
+    return kept.mapInArrow(run, SHARDS + ", extra binary" * bool(carry))
+
+
+def _extra(blob: bytes) -> list[pa.Array]:
+    """The columns of a shard's `extra`, in the order of its documents."""
+    return [c.combine_chunks() for c in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().columns]
 
 
 SENT = "bucket int, shard long, entries binary"
@@ -278,7 +291,7 @@ def settle_blocks(shards: DataFrame, buckets: int, length: int, seed: int) -> Da
             yield from _tell(names, shard[~kind], at[~kind], EQUAL)
             yield from _tell(names, shard[kind & several], at[kind & several], OPEN)
 
-    sent = shards.mapInArrow(send, SENT)
+    sent = shards.select("shard", "ids", "sizes", "body").mapInArrow(send, SENT)
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(judge, TOLD)
 
 
@@ -329,14 +342,14 @@ FORMS = {
 }
 
 
-def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: int = SEED, kept: str = "bytes") -> DataFrame:
-    """KEPT rows; kept names one of FORMS."""
+def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: int = SEED, kept: str = "bytes", carry: tuple[str, ...] = ()) -> DataFrame:
+    """KEPT rows, one per row of docs, and these rows' columns named in carry; kept names one of FORMS."""
     form_type, form = FORMS[kept]
     spark = docs.sparkSession
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"shards_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    packed_shards(docs, key, text).repartition(p, "shard").write.bucketBy(p, "shard").option("path", path).saveAsTable(name)
+    packed_shards(docs, key, text, carry).repartition(p, "shard").write.bucketBy(p, "shard").option("path", path).saveAsTable(name)
     shards, buckets = spark.table(name), 4 * p
     blocks_told = stored(settle_blocks(shards, buckets, length, seed))
     strings_told = stored(settle_strings(shards, blocks_told, buckets, length, seed))
@@ -344,9 +357,9 @@ def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: in
 
     def run(batches):
         for b in batches:
-            for _, ids, sizes, body, *kinds in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, ids, sizes, body, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = Shard(ids, sizes, body, length, seed)
-                mask = covered(s, *(_places(k or []) for k in kinds))
+                mask = covered(s, *(_places(k or []) for k in more[:3]))
                 out = []
                 for i, (a, z) in enumerate(zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)):
                     m = mask[a:z]
@@ -354,9 +367,11 @@ def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: in
                     spans = int((m[1:] & ~m[:-1]).sum() + m[:1].sum()) if n else 0
                     rest = s.body[a:z][~m].tobytes() if n else s.raw[a:z]
                     out.append((int(s.ids[i]), z - a, n, spans, form(rest)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, (pa.binary() if form_type == "binary" else pa.string()) if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], [x.split()[0] for x in KEPT.split(", ")])
+                own = [pa.array(c, (pa.binary() if form_type == "binary" else pa.string()) if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))]
+                yield pa.RecordBatch.from_arrays([*own, *(_extra(more[3]) if carry else ())], [*(x.split()[0] for x in KEPT.split(", ")), *carry])
 
-    return shards.join(told, "shard", "left").select("shard", "ids", "sizes", "body", "k1", "k2", "k3").mapInArrow(run, KEPT + form_type)
+    schema = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return shards.join(told, "shard", "left").select("shard", "ids", "sizes", "body", "k1", "k2", "k3", *["extra"] * bool(carry)).mapInArrow(run, KEPT + form_type + schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes
 as parquet in the shared folder and reads again as the next one's docs. All but the last return the columns of
 documents. A null text is judged as an empty one and stays null; rows without a doc_id can't be named in a class
-and leave with the second stage.
+and leave with the second stage. Equal rows (of one doc_id and text) are one document from then on; different texts under one doc_id all stay.
 """
 
 from __future__ import annotations
@@ -26,20 +26,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates."""
-    kept = jaccard_join.classes(docs, "doc_id", "text").where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    kept = stored(jaccard_join.classes(docs, "doc_id", "text").where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi").select(*COLUMNS)
+    # only texts of repeated ids are shuffled to reduce equal rows
+    again = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("least"))
+    return single.union(again.select("doc_id", "text", "least.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat 100 earlier ones. A character that loses a byte goes as a whole; a
     document that loses all it shows goes as well."""
-    kept = suffix_dedup.removed(docs, "doc_id", "text", kept="text").select("doc_id", "n_removed", F.col("kept").alias("rest"))
+    blank = docs.withColumn("blank", F.col("text").isNull())
+    kept = suffix_dedup.removed(blank, "doc_id", "text", kept="text", carry=(*COLUMNS[2:], "blank")).withColumnRenamed("kept", "rest")
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("rest")).when(F.col("blank"), F.lit(None)).otherwise(F.col("rest"))
     return (
-        docs.select("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("blank"))
-        .join(kept, "doc_id")
-        .where(~cut | (F.trim(F.translate("rest", "\t\n\r\x0b\x0c", "     ")) != ""))
+        kept.where(~cut | (F.trim(F.translate("rest", "\t\n\r\x0b\x0c", "     ")) != ""))
         .select("doc_id", text.alias("text"), "lang", "source", F.when(cut, F.length("rest").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
     )
 

@@ -51,3 +51,17 @@ def test_repeats_are_cut_and_secrets_masked(steps):
 
 def test_all_that_is_left_is_packed(steps):
     assert {r[0] for r in steps[5].select("doc_id").distinct().collect()} == {r[0] for r in steps[4].select("doc_id").collect()}
+
+
+def test_repeated_rows_leave_one(spark):
+    long, short, other = "one two three four five six seven eight nine ten " * 5, "a short text", "quite another text under the same id"
+    rows = [(3, long, "en", "a", len(long))] * 4 + [(5, short, "de", "b", len(short))] * 3 + [(7, None, None, None, None)] * 2 + [(5, other, "en", "c", len(other))]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3))
+    want = sorted(set(rows), key=str)
+    one = stored(p.one_of_each(spark, docs, DATA))
+    assert sorted(map(tuple, one.collect()), key=str) == want
+    cut = lambda df: sorted(tuple(r) for r in p.cut_repeats(spark, df, DATA).collect() if r[0] != 7)
+    whole = [r for r in cut(docs) if r[0] == 3]
+    assert len(whole) == 1  # equal rows are repeats of the first and don't come back
+    assert [r for r in cut(docs) if r[0] == 5] == sorted(r for r in rows if r[0] == 5)  # no pairs of equal rows
+    assert len(cut(one)) == 3

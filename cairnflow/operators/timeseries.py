@@ -120,7 +120,7 @@ def instant(s: Series, times: Times, lookback: int, offset: int = 0, at: int | N
 
 def _spread(v: Vector, times: Times) -> Vector:
     """A vector evaluated at one fixed time, at all times."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(times.last)), lambda k: k * F.lit(times.step) + F.lit(times.start))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(times.last)), lambda k: k.cast("long") * F.lit(times.step) + F.lit(times.start))
     return Vector(v.df.drop("t").withColumn("t", F.explode(F.transform(steps, lambda t: t.cast("long")))).select(*v.labels, "t", "value"), v.labels)
 
 

@@ -12,8 +12,11 @@ from cairnflow.sources.tables import table
 
 HOUR = 3_600_000
 START = 1_704_844_800_000  # 2024-01-10T00:00:00Z
-GRID = ts.Times(START, START + 48 * HOUR, 6 * HOUR)
+#: All of the events, 2024-01-01 to 2024-01-30, and the empty windows at both ends.
+GRID = ts.Times(1_704_067_200_000, 1_704_067_200_000 + 30 * 24 * HOUR, 6 * HOUR)
 ONE = ts.Times(START, START)
+#: Two days without an empty window: scalar() is NaN at a time without samples, where the SQL of ts_scalar has no row.
+SOME = ts.Times(START, START + 48 * HOUR, 6 * HOUR)
 WINDOW = 12 * HOUR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,7 +107,7 @@ def _replaced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subquery(spark: SparkSession, d: str) -> DataFrame:
-    inner = ts.over(gauge(spark, d), "avg", ts.Times(START - 24 * HOUR, START + 48 * HOUR, HOUR), 3 * HOUR)
+    inner = ts.over(gauge(spark, d), "avg", ts.Times(GRID.start - 24 * HOUR, GRID.end, HOUR), 3 * HOUR)
     return _r(ts.over(ts.subquery(inner), "max", GRID, 24 * HOUR))
 
 
@@ -157,11 +160,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "ts_set_or": (lambda s, d: _r(ts.set_op(ts.with_scalar(_counts(s, d), ">", 5), "or", ts.with_scalar(_counts(s, d), "*", -1)), 6), _agg("CAST(CASE WHEN count(*) > 5 THEN count(*) ELSE -count(*) END AS DOUBLE)")),
     "ts_set_unless": (lambda s, d: _r(ts.set_op(_sums(s, d), "unless", ts.with_scalar(_counts(s, d), ">", 5)), 6), _agg("round(sum(value), 6)", having="HAVING count(*) <= 5")),
     "ts_label_functions": (_replaced, _w() + "SELECT event_type, t, CAST(count(*) AS DOUBLE) AS value, k AS kind, event_type || '/' || k AS both FROM (SELECT *, CASE WHEN event_type[1] IN ('p', 'v') THEN event_type[1] || '-' || event_type[2:] ELSE '' END AS k FROM w) GROUP BY event_type, t, k"),
-    "ts_subquery": (_subquery, f"""WITH {_S}, i AS (SELECT unnest(generate_series({START - 24 * HOUR}, {START + 48 * HOUR}, {HOUR})) AS i), v AS (SELECT event_type, i AS ts, avg(value) AS value FROM s JOIN i ON s.ts > i.i - {3 * HOUR} AND s.ts <= i.i GROUP BY event_type, i), {_G}
+    "ts_subquery": (_subquery, f"""WITH {_S}, i AS (SELECT unnest(generate_series({GRID.start - 24 * HOUR}, {GRID.end}, {HOUR})) AS i), v AS (SELECT event_type, i AS ts, avg(value) AS value FROM s JOIN i ON s.ts > i.i - {3 * HOUR} AND s.ts <= i.i GROUP BY event_type, i), {_G}
         SELECT event_type, t, round(max(value), 9) AS value FROM v JOIN g ON v.ts > g.t - {24 * HOUR} AND v.ts <= g.t GROUP BY event_type, t"""),
     "ts_histogram_quantile": (lambda s, d: _r(ts.histogram_quantile(_histogram(s, d), 0.9)), _HIST_SQL),
     "ts_absent": (lambda s, d: ts.absent(ts.instant(ts.matching(gauge(s, d), ("event_type", "=", "nothing")), GRID, WINDOW), GRID, {"event_type": "nothing"}).df, f"WITH {_G} SELECT 'nothing' AS event_type, t, CAST(1 AS DOUBLE) AS value FROM g"),
-    "ts_scalar": (lambda s, d: _r(ts.scalar(ts.aggregate(_sums(s, d), "sum"), GRID), 6), f"WITH {_S}, {_G} SELECT t, round(sum(value), 6) AS value FROM s JOIN g ON s.ts > g.t - {WINDOW} AND s.ts <= g.t GROUP BY t"),
+    "ts_scalar": (lambda s, d: _r(ts.scalar(ts.aggregate(ts.over(gauge(s, d), "sum", SOME, WINDOW), "sum"), SOME), 6), f"WITH {_S}, g AS (SELECT unnest(generate_series({SOME.start}, {SOME.end}, {SOME.step})) AS t) SELECT t, round(sum(value), 6) AS value FROM s JOIN g ON s.ts > g.t - {WINDOW} AND s.ts <= g.t GROUP BY t"),
     "ts_clamp_round": (lambda s, d: ts.rounded(ts.clamp(_counts(s, d), 2, 9), 5).df, _agg("floor(greatest(2, least(9, count(*))) / 5.0 + 0.5) * 5")),
     "ts_math": (lambda s, d: _r(ts.mapped(ts.mapped(_counts(s, d), ts.POINTWISE["ln"]), ts.POINTWISE["sqrt"])), _agg("round(sqrt(ln(count(*))), 9)")),
     "ts_time_functions": (lambda s, d: ts.mapped(ts.over(gauge(s, d), "ts_of_last", GRID, WINDOW), ts.POINTWISE["hour"]).df, _agg("CAST(hour(to_timestamp(max(ts) // 1000) AT TIME ZONE 'UTC') AS DOUBLE)")),

@@ -126,3 +126,18 @@ def test_certified_semi_join_fails_on_a_missing_key(spark):
     left = spark.createDataFrame([(1,), (2,)], "k int")
     with pytest.raises(Exception, match="no row"):
         views.certified_semi_join(left, spark.createDataFrame([(1,)], "k int"), ["k"]).collect()
+
+
+def test_registered_queries_read_all_events(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from cairnflow.plans.series_queries import GRID, WINDOW
+
+    data = "/root/testdata/sf0.001/events.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    first, last = spark.read.parquet(data).agg(F.min(at), F.max(at)).first()
+    assert GRID.start - WINDOW < first and last <= GRID.end and GRID.step <= WINDOW

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.store import stored
+from cairnflow.llm.store import Scratch
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     smaller ones), which keeps the components and about halves the depth; labels end as stars.
     Nothing but a count and a hash of the edges reaches the driver.
     """
-    now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    old, scratch = None, Scratch(edges.sparkSession)
+    now = scratch.stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while True:
         both = now.union(now.select("v", "u"))
@@ -24,7 +25,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # small star: from every node to the smaller ones, all hung on the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        after = stored(small.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct())
+        old, scratch = scratch, Scratch(edges.sparkSession)
+        after = scratch.stored(small.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct())
+        old.drop()
         last, mark = mark, _mark(after)
         if mark == last:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select("v", "v").distinct())

@@ -2,19 +2,22 @@
 
 The kernel of two words counts the subsequences of three characters they share, each weighted
 by DECAY to the power of how far it is spread, up to SPREAD characters, so an insult
-with characters put in between (`i.d.i.o.t`, `stu*pid`) stays close to the plain one; letters
-set apart (`s c u m`) are read as one word too. A labelled text is a bag of words of which one
-at least is meant when it is toxic, so training alternates between choosing each toxic bag's
-witness and fitting a machine over words, with the worst words of clean bags as hard examples. The machine
+with characters put in between (`idxiot`) stays close to the plain one; the start of a word counts as a character. Punctuation within
+a word is left out before (`i--d.iot`), and letters set apart (`s c u m`, `s. c. u. m`) are read as one word too. A labelled text is a
+bag of words of which some are meant when it is toxic. Training takes as meant what is much
+more frequent in toxic bags than in clean ones, fits a machine over words, and then alternates between adding the worst word of
+each toxic bag that has none yet, and the worst words of clean bags as hard examples. The machine
 works in the space of LANDMARKS words (Nyström). As its decision is a weighted sum of kernels
 with landmarks, it unfolds to one weight per subsequence, a table of fixed size that scores all
-documents; a text scores as its worst word does, through a logistic fitted on training bags.
+documents. A text scores by its worst words, how many words are bad and which share of all they are (FEATURES), through a logistic fitted
+on training bags that a machine of the other bags decides.
 
 Training reads a sample bounded by MAX_BAGS labelled rows of either class, in order of a hash.
 
 Defined cases: null labels are left out; null and empty texts have no words and score lowest; repeated
 rows give repeated scores; without labels of both classes every score is 0; columns other than
-the named ones are ignored.
+the named ones are ignored. Texts of any length are read whole, in pieces; a word's score is remembered by a worker only within a
+batch, and only for words of up to REMEMBERED characters.
 """
 
 from __future__ import annotations
@@ -29,31 +32,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnflow.llm.arrow import parts as parts_of
 from cairnflow.llm.bpe import pieces
 
-DECAY, SPREAD, LANDMARKS, MAX_BAGS = 0.7, 6, 320, 2500
+DECAY, SPREAD, LANDMARKS, MAX_BAGS = 0.7, 6, 400, {True: 2000, False: 2500}
 #: Words longer than WINDOW are scored in overlapping windows.
 WINDOW = 24
-#: Words whose scores a worker remembers.
-TABLE_SIZE = 500_000
+#: Words whose scores a task has in hand at once, and their most characters.
+TABLE_SIZE, REMEMBERED = 200_000, 64
 SYMBOLS = 64
-#: Symbol number of ASCII punctuation, which no subsequence takes up, and steps of the fit.
-MARK, STEPS = 29, 400
-#: Words of no clean bag and at least this share of toxic ones are taken as meant in each of these.
-OFTEN = 0.02
-#: Weight of clean bags in the logistic, so that doubtful texts stay below 0.5.
-CLEAN_WEIGHT = 4.0
-_EDGE = "".join(chr(c) for c in range(0x21, 0x80) if not chr(c).isalnum()) + "¿¡«»„“”’…"
-_APART = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+#: Symbol number of ASCII punctuation, which no subsequence takes up, that of a word's start, steps of a fit, fits of a machine, and machines.
+MARK, START, STEPS, ROUNDS, FOLDS = 29, 0, 200, 3, 3
+#: Words of so many toxic bags at least, and so many times as frequent in these as in clean ones, are taken as meant.
+LEAST_BAGS, RATIO = 3, 6.0
+_MARKS = re.compile(r"[!-/:-@\[-`{-~¿¡«»„“”’…]+")
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
+_BETWEEN = re.compile(r"[\W_]+")
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-case words, and runs of single characters joined to words."""
+    """Distinct lower-case words without punctuation, and runs of single characters joined to words."""
     found: set[str] = set()
     for piece in pieces(text):
         low = piece.lower()
-        found.update(low.split())
-        found.update("".join(m[0].split()) for m in _APART.finditer(low))
+        found.update(_MARKS.sub("", low).split())
+        found.update(_BETWEEN.sub("", m[0]) for m in _APART.finditer(low))
     return found
 
 
@@ -65,14 +68,15 @@ for _c in range(0x250):
 def codes(words: list[str]) -> np.ndarray:
     """Words of equal length as rows of symbol numbers below SYMBOLS."""
     c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.where(c < 0x250, _CODE[np.minimum(c, 0x24F)], 30 + c % 34).reshape(len(words), -1)
+    found = np.where(c < 0x250, _CODE[np.minimum(c, 0x24F)], 30 + c % 34).reshape(len(words), -1)
+    return np.concatenate([np.full((len(words), 1), START), found], 1)
 
 
 _SHAPES: dict[int, tuple] = {}
 
 
 def _shape(n: int) -> tuple:
-    """Places of the subsequences in a word of n characters, and their weights at norm 1."""
+    """Places of the subsequences in a word of n symbols, and their weights at norm 1."""
     if n not in _SHAPES:
         at = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n) if k - i < SPREAD]
         i, j, k = np.array(at, np.int64).reshape(-1, 3).T
@@ -82,8 +86,7 @@ def _shape(n: int) -> tuple:
 
 
 def parts(word: str) -> list[str]:
-    """The word without punctuation at its ends, in windows if it is long."""
-    word = word.strip(_EDGE) or word
+    """The word, in windows if it is long."""
     if len(word) <= WINDOW:
         return [word]
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
@@ -91,58 +94,56 @@ def parts(word: str) -> list[str]:
 
 def features(part: str) -> tuple[np.ndarray, np.ndarray]:
     """Subsequence numbers and weights of one word."""
-    i, j, k, w = _shape(len(part))
     c = codes([part])
-    return _numbers(c, i, j, k)[0], _weights(c, i, j, k, w)[0]
+    i, j, k, w = _shape(c.shape[1])
+    return _numbers(c, i, j, k)[0], w
 
 
 def _numbers(c: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (c[:, i] * SYMBOLS + c[:, j]) * SYMBOLS + c[:, k]
 
 
-def _weights(c: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """w for each word, at norm 1 over the subsequences without punctuation."""
-    mark = c == MARK
-    out = w * ~(mark[:, i] | mark[:, j] | mark[:, k])
-    return out / np.maximum(1e-9, np.sqrt((out * out).sum(1)))[:, None]
+#: What the logistic sees of a text: the worst decision, the mean of the worst two, how many words are bad, and their share.
+FEATURES = ("worst", "worst_two", "bad", "share")
+
+
+def summary(decisions: np.ndarray) -> tuple[float, ...]:
+    """FEATURES of a text from the decisions for its words."""
+    if not len(decisions):
+        return -1.0, -1.0, 0.0, 0.0
+    top = np.clip(np.sort(decisions)[::-1][:2], -1, 1)
+    bad = float(np.clip(2 * decisions, 0, 1).sum())
+    return float(top[0]), float(top.sum() - (2 - len(top))) / 2, float(np.log1p(bad)), float(np.log1p(1000 * bad / (50 + len(decisions))))
 
 
 @dataclass
 class Model:
-    """weight: per subsequence; slope and shift: from a decision to a logit."""
+    """weight: per subsequence; slope and shift: from FEATURES to a logit."""
 
     weight: np.ndarray
     bias: float
-    slope: float
+    slope: np.ndarray
     shift: float
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The decision for each word."""
-        if len(words) > 1 << 15:
-            return np.concatenate([self.decide(words[a : a + (1 << 15)]) for a in range(0, len(words), 1 << 15)])
+        if len(words) > 1 << 14:
+            return np.concatenate([self.decide(words[a : a + (1 << 14)]) for a in range(0, len(words), 1 << 14)])
         out = np.full(len(words), -np.inf)
         by_size: dict[int, list[tuple[int, str]]] = {}
         for at, word in enumerate(words):
             for p in parts(word):
                 by_size.setdefault(len(p), []).append((at, p))
         for size, held in by_size.items():
-            i, j, k, w = _shape(size)
-            for a in range(0, len(held), 4096):
-                some = held[a : a + 4096]
-                if len(w):
-                    c = codes([p for _, p in some])
-                    found = self.weight[_numbers(c, i, j, k)]
-                    value = found @ w
-                    odd = np.flatnonzero((c == MARK).any(1))
-                    if len(odd):
-                        value[odd] = (found[odd] * _weights(c[odd], i, j, k, w)).sum(1)
-                else:
-                    value = np.zeros(len(some))
+            i, j, k, w = _shape(size + 1)
+            for a in range(0, len(held), 2048):
+                some = held[a : a + 2048]
+                value = self.weight[_numbers(codes([p for _, p in some]), i, j, k)] @ w if size > 2 else np.zeros(len(some))
                 np.maximum.at(out, [at for at, _ in some], value + self.bias)
         return out
 
-    def chance(self, decision: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -50, 50))))
+    def chance(self, features: tuple[float, ...]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(float(np.dot(self.slope, features)) + self.shift, -50, 50))))
 
 
 def _vectors(words: list[str]) -> list[dict[int, float]]:
@@ -169,12 +170,19 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         for u, x in v.items():
             table[column[u], m] = x
     out = np.zeros((len(words), len(landmarks)))
-    for a in range(0, len(words), 512):
-        rows = np.zeros((len(words[a : a + 512]), len(column) + 1))
-        for n, word in enumerate(words[a : a + 512]):
-            u, x = features(parts(word)[0])
-            np.add.at(rows[n], of[u], x)
-        out[a : a + 512] = rows @ table
+    by_size: dict[int, list[int]] = {}
+    heads = [parts(word)[0] for word in words]
+    for n, head in enumerate(heads):
+        by_size.setdefault(len(head), []).append(n)
+    for size, held in by_size.items():
+        i, j, k, w = _shape(size + 1)
+        for a in range(0, len(held), 1024):
+            some = held[a : a + 1024]
+            at = of[_numbers(codes([heads[n] for n in some]), i, j, k)]
+            total = np.zeros((len(some), len(landmarks)))
+            for f in range(len(w)):
+                total += w[f] * table[at[:, f]]
+            out[some] = total
     return out
 
 
@@ -185,17 +193,19 @@ def _machine(words: list[str], y: np.ndarray, importance: np.ndarray, landmarks:
     good = values > 1e-6 * values[-1]
     to = axes[:, good] / np.sqrt(values[good])
     x = _kernel(words, landmarks) @ to
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    c = importance / importance.sum() * 2000
-    top = 1 + 2 * np.linalg.norm(x1 * np.sqrt(c)[:, None], 2) ** 2
-    w = z = np.zeros(x1.shape[1])
-    ridge = np.r_[np.ones(x.shape[1]), 0.01]
+    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    c = (importance / importance.sum() * 2000).astype(np.float32)
+    y = y.astype(np.float32)
+    scaled = x1 * np.sqrt(c)[:, None]
+    top = np.float32(1 + 2 * np.linalg.eigvalsh(scaled.T @ scaled)[-1])
+    w = z = np.zeros(x1.shape[1], np.float32)
+    ridge = np.r_[np.ones(x.shape[1]), 0.01].astype(np.float32)
     t = 1.0
     for _ in range(STEPS):
         slack = np.maximum(0, 1 - y * (x1 @ z))
         new = z - (ridge * z - 2 * x1.T @ (c * y * slack)) / top
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        z = new + (last - 1) / t * (new - w)
+        z = new + np.float32((last - 1) / t) * (new - w)
         w = new
     alpha = to @ w[:-1]
     weight = np.zeros(SYMBOLS**3)
@@ -206,92 +216,119 @@ def _machine(words: list[str], y: np.ndarray, importance: np.ndarray, landmarks:
 
 
 def _noisy(word: str, rng: np.random.Generator) -> str:
-    """The word with characters put in between, as people do to pass filters."""
-    mark = str(rng.choice(list(".-*_x")))
-    if rng.random() < 0.5:
-        return mark.join(word)
+    """The word with a character put in, as people do to pass filters."""
     at = int(rng.integers(1, len(word)))
-    return word[:at] + mark + word[at:]
+    return word[:at] + str(rng.choice(list("xzq019"))) + word[at:]
+
+
+class Bags:
+    """Labelled texts as numbers of their words."""
+
+    def __init__(self, bags: Iterable[tuple[Iterable[str], bool]]):
+        number: dict[str, int] = {}
+        seen: set[tuple[bytes, bool]] = set()
+        self.toxic: list[np.ndarray] = []
+        self.clean: list[np.ndarray] = []
+        for bag, toxic in bags:
+            own = np.sort(np.array([number.setdefault(w, len(number)) for w in bag], np.int32))
+            if len(own) and (mark := (own.tobytes(), toxic)) not in seen:
+                seen.add(mark)
+                (self.toxic if toxic else self.clean).append(own)
+        self.words = list(number)
 
 
 def train(bags: Iterable[tuple[Iterable[str], bool]], seed: int = 7) -> Model:
-    """A model from (distinct words, toxic) of labelled texts. Its logistic is fitted on bags that a
-    machine of the other bags decides."""
-    unique = {(tuple(sorted(w)), y) for w, y in bags if w}
-    toxic, clean = (sorted(w for w, y in unique if y is side) for side in (True, False))
-    if len(toxic) < 2 or len(clean) < 2:
-        return Model(np.zeros(SYMBOLS**3), -1.0, 0.0, -50.0)
-    part = fit(toxic[::2], clean[::2], seed, 2)
-    asked = toxic[1::2] + clean[1::2]
-    vocabulary = sorted(set().union(*asked))
-    known = dict(zip(vocabulary, part.decide(vocabulary).tolist(), strict=True))
-    best = np.array([max(known[w] for w in bag) for bag in asked])
-    model = fit(toxic, clean, seed, 3)
-    model.slope, model.shift = _logistic(best, np.r_[np.ones(len(toxic[1::2])), np.zeros(len(clean[1::2]))])
-    return model
-
-
-def fit(toxic: list[tuple[str, ...]], clean: list[tuple[str, ...]], seed: int, rounds: int) -> Model:
-    """A machine over words from toxic and clean bags, without a logistic."""
+    """A model from (distinct words, toxic) of labelled texts: the mean of FOLDS machines, each fitted without a part of the
+    bags. The logistic is fitted on bags as the machine that hasn't seen them decides."""
+    held = Bags(bags)
+    if len(held.toxic) < 2 or len(held.clean) < 2:
+        return Model(np.zeros(SYMBOLS**3), -1.0, np.zeros(len(FEATURES)), -50.0)
+    x, y, machines = [], [], []
+    for fold in range(FOLDS):
+        rest = [[bag for n, bag in enumerate(side) if n % FOLDS != fold] for side in (held.toxic, held.clean)]
+        model, known = fit(held.words, *rest, seed + fold, ROUNDS)
+        machines.append(model)
+        for side, bag_list in ((1.0, held.toxic), (0.0, held.clean)):
+            for bag in bag_list[fold::FOLDS]:
+                x.append(summary(known[bag]))
+                y.append(side)
+    slope, shift = _logistic(np.array(x), np.array(y))
+    # decisions are linear in the weights, so the mean of machines is one
+    return Model(sum(m.weight for m in machines) / FOLDS, sum(m.bias for m in machines) / FOLDS, slope, shift)
+
+
+def fit(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarray], seed: int, rounds: int) -> tuple[Model, np.ndarray]:
+    """A machine over words from toxic and clean bags, without a logistic, and its decisions for all words."""
     rng = np.random.default_rng(seed)
-    count: dict[str, list[int]] = {}
-    for side, bag_list in ((1, toxic), (0, clean)):
-        for bag in bag_list:
-            for w in bag:
-                count.setdefault(w, [0, 0])[side] += 1
-    only = [[w for w in bag if count[w][0] == 0 and len(parts(w)[0]) > 2] or [w for w in bag if len(parts(w)[0]) > 2] for bag in toxic]
-    often = [w for w in count if count[w][0] == 0 and count[w][1] >= max(3, OFTEN * len(toxic)) and len(parts(w)[0]) > 2]
-    witness = [max(bag, key=lambda w: (count[w][1], w)) for bag in only if bag]
-    common = sorted((w for w in count if count[w][0] and len(w) > 2), key=lambda w: (-count[w][0], w))
-    pool = common[:1500] + [common[i] for i in rng.permutation(len(common))[:2500]]
-    hard: list[str] = []
-    model = Model(np.zeros(SYMBOLS**3), 0.0, 1.0, 0.0)
-    for _ in range(rounds):
-        good: dict[str, int] = {}
-        for w in witness:
-            good[w] = good.get(w, 0) + 1
-        for w in often:
-            good[w] = max(good.get(w, 0), count[w][1])
+    in_toxic, in_clean = (np.bincount(np.concatenate(b), minlength=len(words)) for b in (toxic, clean))
+    long = np.array([len(w) > 2 for w in words])
+    odds = (in_toxic / len(toxic)) / ((in_clean + 0.5) / len(clean))
+    meant = long & (in_toxic >= LEAST_BAGS) & (odds >= RATIO)
+    common = np.lexsort((np.arange(len(words)), -in_clean))
+    common = common[(in_clean[common] > 0) & long[common] & ~meant[common]]
+    pool = np.concatenate([common[:1500], common[rng.permutation(len(common))[:2500]]])
+    good = {int(w): float(in_toxic[w]) ** 0.5 for w in np.flatnonzero(meant)}
+    hard: dict[int, float] = {}
+    decisions = np.zeros(len(words))
+    model = Model(np.zeros(SYMBOLS**3), 0.0, np.zeros(len(FEATURES)), 0.0)
+    for round_ in range(rounds):
+        if round_ or not good:  # toxic bags without a word that is taken as meant give their worst one
+            score = decisions if round_ else odds
+            for bag in toxic:
+                some = bag[long[bag]]
+                if len(some) and not any(int(w) in good for w in some):
+                    w = int(some[np.argmax(score[some])])
+                    if not round_ or decisions[w] > 0:
+                        good[w] = 1.0
         kept = sorted(good, key=lambda w: (-good[w], w))[:1500]
-        negative = list(dict.fromkeys(pool + hard))
-        plain = [(w, 1.0, good[w] ** 0.5) for w in kept] + [(w, -1.0, 1.0) for w in negative]
-        extra = [(_noisy(w, rng), 1.0, good[w] ** 0.5 / 2) for w in kept for _ in range(2)] + [(_noisy(w, rng), -1.0, 0.5) for w in negative[:1500]]
+        negative = [w for w in dict.fromkeys([*pool.tolist(), *hard]) if w not in good]
+        plain = [(words[w], 1.0, good[w]) for w in kept] + [(words[w], -1.0, hard.get(w, 1.0)) for w in negative]
+        extra = [(_noisy(words[w], rng), 1.0, good[w] / 3) for w in kept for _ in range(2)] + [(_noisy(words[w], rng), -1.0, 0.3) for w in negative[:1500]]
         rows = plain + extra
         y = np.array([r[1] for r in rows])
         weight = np.array([r[2] for r in rows])
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum() / 2
         marks = kept[: LANDMARKS // 2]
         marks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
-        model = Model(*_machine([r[0] for r in rows], y, weight, marks), 1.0, 0.0)
-        vocabulary = list(count)
-        score = dict(zip(vocabulary, model.decide(vocabulary).tolist(), strict=True))
-        witness = [max(bag, key=lambda w: (score[w], w)) for bag in only if bag]
-        hard = list(dict.fromkeys(hard + [max(bag, key=lambda w: (score[w], w)) for bag in clean]))[-3000:]
-    return model
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of class-weighted logistic regression with a small ridge, by Newton steps."""
-    a = np.array([1.0, 0.0])
-    m = np.stack([x, np.ones_like(x)], 1)
-    c = np.where(y > 0, 0.5 / max(1, y.sum()), CLEAN_WEIGHT * 0.5 / max(1, (1 - y).sum()))
-    for _ in range(50):
+        model.weight, model.bias = _machine([r[0] for r in rows], y, weight, [words[w] for w in marks])
+        decisions = model.decide(words)
+        for bag in clean:
+            w = int(bag[np.argmax(decisions[bag])])
+            if w not in good and len(hard) < 3000:
+                hard[w] = 0.3 + 0.3 * min(2, int(in_clean[w]))
+    return model, decisions
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of logistic regression with a small ridge, by Newton steps; the shift puts 0.5 where F2 (recall
+    counts twice) is highest on the bags, in the middle between two of them."""
+    a = np.zeros(x.shape[1] + 1)
+    m = np.hstack([x, np.ones((len(x), 1))])
+    c = 1 / len(y)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(m @ a, -50, 50)))
-        g = m.T @ (c * (p - y)) + 1e-3 * a
-        h = (m * (c * p * (1 - p))[:, None]).T @ m + 1e-3 * np.eye(2)
+        g = c * m.T @ (p - y) + 1e-4 * a
+        h = c * (m * (p * (1 - p))[:, None]).T @ m + 1e-4 * np.eye(len(a))
         a = a - np.clip(np.linalg.solve(h, g), -2, 2)
-    return max(0.1, float(a[0])), float(a[1])
+    logit = x @ a[:-1]
+    order = np.argsort(-logit, kind="stable")
+    z, hits = logit[order], np.cumsum(y[order])
+    f2 = 5 * hits / (np.arange(1, len(y) + 1) + 4 * y.sum())
+    ends = np.flatnonzero(np.r_[z[1:] != z[:-1], True])
+    at = int(ends[np.argmax(f2[ends])])
+    return a[:-1], -float(z[at] + z[min(at + 1, len(z) - 1)]) / 2
 
 
 def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MAX_BAGS) -> list[tuple[tuple[str, ...], bool]]:
-    """Up to `most` texts of either class, in order of a hash of the id, as bags of distinct words."""
+def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: dict[bool, int] | None = None) -> list[tuple[tuple[str, ...], bool]]:
+    """Up to MAX_BAGS texts of either class, in order of a hash of the id, as bags of distinct words."""
+    most = most or MAX_BAGS
     known = labels.where(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), (F.col(label) == 1).alias("toxic"))
-    sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y in (True, False)]
-    ids = sample[0].union(sample[1]).dropDuplicates(["key"])  # 2 * most rows at most
+    sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most[y]) for y in (True, False)]
+    ids = sample[0].union(sample[1]).dropDuplicates(["key"])  # as many rows as MAX_BAGS at most
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key").where("text IS NOT NULL")
 
     def run(batches):
@@ -304,24 +341,26 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 
 
 def score(docs: DataFrame, key: str, text: str, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: its key, score, predicted and the columns to carry."""
+    """Per row: its key, score, predicted and the columns to carry. Batches are read in parts of bounded bytes."""
 
     def run(batches):
         known: dict[str, float] = {}
-        for b in batches:
-            bags = [words_of(t or "") for t in b.column(1).to_pylist()]
-            new = set().union(*bags) - known.keys() if bags else set()
-            if len(known) + len(new) > TABLE_SIZE:
-                known.clear()
-                new = set().union(*bags)
-            new = list(new)
-            for a in range(0, len(new), 1 << 16):
-                known.update(zip(new[a : a + (1 << 16)], model.decide(new[a : a + (1 << 16)]).tolist(), strict=True))
-            worst = [max(map(known.__getitem__, bag), default=model.bias) for bag in bags]
-            scores = [model.chance(x) for x in worst]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *b.columns[2:]], ["key", "score", "predicted", *carry])
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), *carry)
+        for batch in batches:
+            for b in parts_of(batch, most=2 << 20):
+                bags = [words_of(t) for t in b.column(1).to_pylist()]
+                new = list(set().union(*bags) - known.keys())
+                if len(known) + len(new) > TABLE_SIZE:
+                    known.clear()
+                    new = list(set().union(*bags))
+                known.update(zip(new, model.decide(new).tolist(), strict=True))
+                scores = [model.chance(summary(np.array(list(map(known.__getitem__, bag))))) for bag in bags]
+                for w in new:
+                    if len(w) > REMEMBERED:
+                        del known[w]
+                kept = [c for k, c in enumerate(b.columns) if k != 1]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *kept[1:]], ["key", "score", "predicted", *carry])
+
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"), *carry)
     also = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double, predicted int" + also).withColumnRenamed("key", key)
 

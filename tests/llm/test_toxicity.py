@@ -1,6 +1,8 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairnflow.llm import toxicity as x
 
@@ -26,7 +28,7 @@ def model():
 
 
 def chance(model, text):
-    return model.chance(max(model.decide(list(x.words_of(text))), default=model.bias))
+    return model.chance(x.summary(model.decide(list(x.words_of(text)))))
 
 
 def test_held_out_accuracy(model):
@@ -36,7 +38,7 @@ def test_held_out_accuracy(model):
 
 
 def test_gaps_and_insertions_are_tolerated(model):
-    for text in ("you id*iot there", "you i.d.i.o.t there", "what a mo-ron", "s c u m", "IDIOT!!"):
+    for text in ("you id*iot there", "you i.d.i.o.t there", "what a mo-ron", "s c u m", "s. c. u. m", "i--d--i--o--t", "you idxiot", "IDIOT!!"):
         assert chance(model, text) > chance(model, "the house by the river")
     assert chance(model, "you id*iot there") >= 0.5
 
@@ -62,3 +64,13 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     import zlib
 
     assert len(bags) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_rows_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("toxic IS NOT NULL")
+    model = x.fitted(docs, labels)
+    got = x.score(docs.join(known.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text", model).join(known, "doc_id").where(x.held_out("doc_id"))
+    right, toxic, called = got.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("toxic"), F.sum("predicted")).first()
+    assert right >= 0.85 * toxic and right >= 0.95 * called

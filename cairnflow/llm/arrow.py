@@ -21,3 +21,9 @@ def parts(batch: pa.RecordBatch, column: int = 1, rows: int = 8192, most: int =
         z = min(z, a + rows, batch.num_rows)
         yield batch.slice(a, z - a)
         a = z
+
+
+def split(batches, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches in parts."""
+    for batch in batches:
+        yield from parts(batch, column)

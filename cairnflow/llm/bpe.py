@@ -9,7 +9,7 @@ result is the one that applying merges by rank gives, in time linear in the word
 Decoding concatenates table slices: all token strings lie in one buffer with an offset per
 token, and the bytes of a run of ids are gathered at once.
 
-Words repeat, so each Python worker keeps a bounded table from white-space-free chunks to
+Words repeat, so each task keeps a bounded table from white-space-free chunks to
 their ids; no merge and no normalisation crosses white space.
 
 Defined cases: a null text is an empty one and has no tokens; repeated rows give repeated
@@ -33,8 +33,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's tables hold before they start anew.
-TABLE_SIZE = 400_000
+from cairnflow.llm.arrow import split
+
+#: Entries that a task's tables hold before they start anew, and characters of the longest key they hold.
+TABLE_SIZE, KEY_SIZE = 200_000, 48
 #: Code points of a text that are in hand at once, and tokens that are decoded at once.
 TEXT_STEP, DECODE_STEP = 1 << 20, 1 << 18
 
@@ -160,7 +162,7 @@ class Merges:
 
 
 class Memo(dict):
-    """A bounded table that computes what it lacks."""
+    """A table of bounded bytes that computes what it lacks: it holds short keys only, and starts anew when it is full."""
 
     def __init__(self, f, size: int = TABLE_SIZE):
         super().__init__()
@@ -168,6 +170,8 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.f(key)
+        if len(key) > KEY_SIZE:
+            return value
         if len(self) >= self.size:
             self.clear()
         self[key] = value
@@ -275,6 +279,15 @@ def pieces(text: str, step: int = TEXT_STEP):
     yield text[at:] if at else text
 
 
+def emptied(batches, *tables: dict):
+    """The batches; when they end, so do the tables: a worker serves other tasks afterwards."""
+    try:
+        yield from batches
+    finally:
+        for t in tables:
+            t.clear()
+
+
 @cache
 def codec(path: str) -> WordCodec:
     """One per worker and file."""
@@ -286,7 +299,7 @@ def digests(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in emptied(split(batches), c.of_word, c.of_chunk, c.merges._fit):
             ids = [c.encode(t) for t in batch.column(1).to_pylist()]
             decoded = []
             for parts in c.decode_many(ids):
@@ -309,7 +322,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in emptied(split(batches), c.of_word, c.of_chunk, c.merges._fit):
             ids = [np.frombuffer(c.encode(t), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 

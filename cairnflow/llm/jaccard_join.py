@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.llm.arrow import parts
@@ -61,8 +61,8 @@ MOST_BITS = 1 << 18
 #: Bytes of sketches that are compared with one at a time.
 COMPARED = 1 << 22
 
-ROWS = "address long, doc_id long, n long, d1 long, d2 long, sketch binary, rest boolean, bucket int, signatures binary"
-_ROWS = pa.schema([("address", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("rest", pa.bool_()), ("bucket", pa.int32()), ("signatures", pa.binary())])
+ROWS = "address long, doc_id long, n long, d1 long, d2 long, sketch binary, rest boolean, mark long, bucket int, signatures binary"
+_ROWS = pa.schema([("address", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("rest", pa.bool_()), ("mark", pa.int64()), ("bucket", pa.int32()), ("signatures", pa.binary())])
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Tells the parts of a group apart, and its subsets.
 _ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7], np.uint64)
@@ -183,7 +183,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, share: int) -> DataFrame:
+def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, share: int, mark: Column) -> DataFrame:
     """ROWS: one row per document, and rows of signatures dealt to buckets. Equal sets of a batch
     give their signatures once."""
 
@@ -195,15 +195,15 @@ def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, sh
                 batch += 1
 
     def one(b, base):
-        ids = b.column(0).to_pylist()
+        ids, marks = b.column(0).to_pylist(), b.column(2).to_pylist()
         rows, seen, found, owners = [], set(), [], []
         for slot, h in enumerate(many_shingles(b.column(1).to_pylist(), width)):
             if not len(h):
-                rows.append((base + slot, ids[slot], 0, None, None, None, False, None, None))
+                rows.append((base + slot, ids[slot], 0, None, None, None, False, marks[slot], None, None))
                 continue
             digest = _digest(h)
             s = None if digest in seen else signatures(h, share)
-            rows.append((base + slot, ids[slot], len(h), *digest, _sketch(h), s is None and digest not in seen, None, None))
+            rows.append((base + slot, ids[slot], len(h), *digest, _sketch(h), s is None and digest not in seen, marks[slot], None, None))
             seen.add(digest)
             if s is not None:
                 found.append(s)
@@ -218,10 +218,10 @@ def described(docs: DataFrame, key: str, text: str, buckets: int, width: int, sh
             short, pack = at.astype(np.uint32), zstandard.ZstdCompressor(level=1)
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 i, j = cuts[k], cuts[k + 1]
-                rows.append((base, None, None, None, None, None, None, k, pack.compress(_packed(short[i:j], owner[i:j]))))
+                rows.append((base, None, None, None, None, None, None, None, k, pack.compress(_packed(short[i:j], owner[i:j]))))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
-    kept = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kept = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), mark.cast("long").alias("mark"))
     return kept.mapInArrow(run, ROWS)
 
 
@@ -495,18 +495,18 @@ def _mixed_pairs(work: DataFrame, share: int, forest: bool) -> DataFrame:
     return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int = SHARE, mark: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, mark) of every document; mark is a number of the caller's that tells rows of one id apart."""
     if not 80 <= share <= 100:
         raise ValueError("below 80 percent, sets of fewer than some hundred elements have too few full groups")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = scratch.stored(described(docs, key, text, buckets, width, share))
-    each = rows.where("doc_id IS NOT NULL").select("address", "doc_id", "n", "d1", "d2", "sketch", "rest")
+    rows = scratch.stored(described(docs, key, text, buckets, width, share, F.lit(None) if mark is None else mark))
+    each = rows.where("doc_id IS NOT NULL").select("address", "doc_id", "n", "d1", "d2", "sketch", "rest", "mark")
     # equal sets are one node, named by the smallest address
     equal = each.where("n > 0").groupBy("d1", "d2").agg(F.min("address").alias("node"), F.min("doc_id").alias("least"))
-    known = scratch.stored(each.join(equal, ["d1", "d2"], "left").select("address", "doc_id", "n", "node", "least", "rest"))
+    known = scratch.stored(each.join(equal, ["d1", "d2"], "left").select("address", "doc_id", "n", "node", "least", "rest", "mark"))
     own = scratch.stored(each.join(equal.select(F.col("node").alias("address")), "address", "left_semi").select(F.col("address").alias("node"), "doc_id", "n", "d1", "d2", "sketch"))
     named = known.where("n > 0").select("address", "node")
     sketched = own.select("node", "n", "sketch")
@@ -546,12 +546,12 @@ def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, share: int
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "a", "b")
     in_class = known.where("n > 0").join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = in_class.groupBy("class").agg(F.min("least").alias("component_id"))
-    linked = in_class.join(smallest, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = Scratch(spark).stored(linked.union(known.where("n = 0").select("doc_id", "n", "doc_id")))
+    linked = in_class.join(smallest, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "mark")
+    out = Scratch(spark).stored(linked.union(known.where("n = 0").select("doc_id", "n", "doc_id", "mark")))
     scratch.drop()
     return out
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").drop("mark")

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnflow.llm.bpe import Memo
+from cairnflow.llm.arrow import split
+from cairnflow.llm.bpe import Memo, emptied
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rounds of the least-squares fit, and what leftovers shorter than SHORT weigh in it: they
@@ -58,7 +59,7 @@ class ByteCodec:
         # ids rise with the rank of the merge, so they serve as ranks
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.of_part = Memo(self._part, 600_000)
+        self.of_part = Memo(self._part, 300_000)
 
     def _part(self, part: str) -> bytes:
         return array("I", self.core.encode_ordinary(part)).tobytes()
@@ -119,7 +120,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, size: int, close: in
 
     def run(batches):
         c, end = codec(path), array("I", [close]).tobytes()
-        for batch in batches:
+        for batch in emptied(split(batches), c.of_part):
             out = [array("q") for _ in range(5)]
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = c.encode(body) + end

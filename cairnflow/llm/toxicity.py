@@ -347,7 +347,7 @@ def score(docs: DataFrame, key: str, text: str, model: Model, carry: tuple[str,
         known: dict[str, float] = {}
         for batch in batches:
             for b in parts_of(batch, most=2 << 20):
-                bags = [words_of(t) for t in b.column(1).to_pylist()]
+                bags = [words_of(t or "") for t in b.column(1).to_pylist()]
                 new = list(set().union(*bags) - known.keys())
                 if len(known) + len(new) > TABLE_SIZE:
                     known.clear()
@@ -357,11 +357,12 @@ def score(docs: DataFrame, key: str, text: str, model: Model, carry: tuple[str,
                 for w in new:
                     if len(w) > REMEMBERED:
                         del known[w]
-                kept = [c for k, c in enumerate(b.columns) if k != 1]
-                yield pa.RecordBatch.from_arrays([kept[0], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *kept[1:]], ["key", "score", "predicted", *carry])
+                own = dict(zip(names, b.columns, strict=True))
+                yield pa.RecordBatch.from_arrays([own["key"], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *(own["body" if c == text else c] for c in carry)], ["key", "score", "predicted", *carry])
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"), *carry)
-    also = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    names = ["key", "body", *(c for c in carry if c != text)]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), *names[2:])
+    also = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double, predicted int" + also).withColumnRenamed("key", key)
 
 

@@ -26,10 +26,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates."""
-    kept = stored(jaccard_join.classes(docs, "doc_id", "text").where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi").select(*COLUMNS)
-    # only texts of repeated ids are shuffled to reduce equal rows
-    again = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("least"))
+    mark = F.xxhash64("text")  # rows of one id may hold other texts, which are other documents
+    in_class = jaccard_join.classes(docs, "doc_id", "text", mark=mark)
+    kept = stored(in_class.where("component_id = doc_id").groupBy("doc_id", "mark").agg(F.count("*").alias("rows")))
+    marked = docs.withColumn("mark", mark)
+    single = marked.join(kept.where("rows = 1"), ["doc_id", "mark"], "left_semi").select(*COLUMNS)
+    # only texts of repeated rows are shuffled to reduce equal ones
+    again = marked.join(kept.where("rows > 1"), ["doc_id", "mark"], "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("least"))
     return single.union(again.select("doc_id", "text", "least.*"))
 
 

@@ -169,7 +169,7 @@ def test_rows_of_one_id(spark):
     long = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
     rows = [(1, long), (1, None), (1, other), (2, long + " end"), (3, other + " end"), (4, None), (4, long), (4, long)]
-    got = sorted(map(tuple, j.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").collect()))
+    got = sorted(map(tuple, j.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").drop("mark").collect()))
     assert got == sorted([(1, 56, 1), (1, 0, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 0, 4), (4, 56, 1), (4, 56, 1)])
 
 

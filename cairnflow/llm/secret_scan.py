@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnflow.llm.store import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -136,6 +138,18 @@ def by_path(paths: DataFrame, findings: DataFrame, base: tuple[Rule, ...] = RULE
     )
 
 
+def scan_batches(batches: list[DataFrame], path: str, text: str, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> Scan:
+    """Batches that arrive one after the other, each scanned for what the ledger lacks after those before it. scanned holds
+    the new rows of the ledger, findings those of all batches."""
+    held = None
+    for docs in batches:
+        now = scan(docs, path, text, rules, ledger)
+        now = Scan(now.paths, stored(now.findings), stored(now.scanned))
+        held = now if held is None else Scan(held.paths.union(now.paths), held.findings.union(now.findings), held.scanned.union(now.scanned))
+        ledger = now.scanned if ledger is None else ledger.union(now.scanned)
+    return held
+
+
 def masked(docs: DataFrame, path: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret in text replaced by its rule's name in brackets, and n_secrets. Overlapping secrets become one."""
     found = scan(docs, path, text, rules)
@@ -155,8 +169,10 @@ def masked(docs: DataFrame, path: str, text: str, rules: tuple[Rule, ...] = RULE
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every whole text of documents, each distinct text scanned once."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    """Secrets of every whole text of documents, which arrive in two batches: blobs of the first aren't read again in the second."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    late = F.coalesce(F.xxhash64("doc_id") < 0, F.lit(False))
+    found = scan_batches([docs.where(~late), docs.where(late)], "doc_id", "text")
     return by_path(found.paths, found.findings).withColumnRenamed("path", "doc_id")
 
 

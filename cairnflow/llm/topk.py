@@ -15,7 +15,8 @@ k rows per query at most.
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do
 rows without an id;
 vectors meet only queries with as many components; equal vectors tie, and ties go to the
-smaller id; an empty table gives an empty result; other columns are ignored.
+smaller id; components and scores beyond 64 bits are cut to the nearest 64-bit number; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,6 +104,7 @@ class Block:
         self.n, self.dim, self.words = len(self.ids), dim, -(-len(self.ids) // 64)
         self.v = np.frombuffer(vectors, np.int64).reshape(self.n, dim)
         self.cut = np.frombuffer(cut, np.int64)
+        self.most = [max(abs(int(a)), abs(int(b))) for a, b in zip(self.v.min(0), self.v.max(0), strict=True)]
         plain = np.frombuffer(slices, np.uint64).reshape(dim, SLICES, self.words)
         self.slices = np.stack([plain, ~plain])  # for positive and negative weights
         full = np.zeros(self.words * 8, np.uint8)
@@ -118,6 +120,7 @@ class Block:
         k = min(k, int(np.bitwise_count(rows).sum()))
         if not k:
             return self.ids[:0], self.ids[:0]
+        q = np.maximum(q, -(2**63) + 1)
         weight, negative = np.abs(q), (q < 0).astype(np.int64)
         stacks: list[list[np.ndarray]] = [[] for _ in range(int((self.cut + SLICES).max(initial=0)) + int(weight.max(initial=0)).bit_length() + 1)]
         for t in range(int(weight.max(initial=0)).bit_length()):
@@ -145,9 +148,14 @@ class Block:
                     more, same = more | (same & total[p]), same & ~total[p]
             rows = more | same
         at = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little", count=self.n))
-        score = self.v[at] @ q
-        first = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at][first], score[first]
+        if sum(int(a) * int(b) for a, b in zip(weight.tolist(), self.most, strict=True)) < 1 << 62:
+            score = self.v[at] @ q
+            first = np.lexsort((self.ids[at], -score))[:k]
+            return self.ids[at][first], score[first]
+        exact = [sum(a * b for a, b in zip(row, q.tolist(), strict=True)) for row in self.v[at].tolist()]
+        cut = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact]
+        first = sorted(range(len(at)), key=lambda i: (-cut[i], self.ids[at[i]]))[:k]
+        return self.ids[at][first], np.array([cut[i] for i in first], np.int64)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = ROWS) -> DataFrame:

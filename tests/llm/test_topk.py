@@ -44,3 +44,17 @@ def test_fewer_rows_than_k_and_empty(spark):
 def test_rows_without_an_id_take_no_part(spark):
     rows = [(i, [float(i % 7), 1.0], 1, "x") for i in range(0, 300, 50)]
     assert got(spark, [*rows, (None, [9.0, 9.0], 1, "x"), (None, [0.0, 0.0], 1, "x")], 10) == brute(rows, 10)
+
+
+def test_huge_components(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [-1e18, 5.0]), (3, [1.0, 1.0]), (100, [3e15, 3e15]), (4, [2e15, 2e15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.whole_vectors(df, "vec_id", "embedding", 1024)
+    got = {}
+    for r in topk.top_k(v, v.where("id % 100 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    limit = 2**63
+    fixed = {k: [max(-limit, min(limit - 1, int(1024 * x))) for x in c] for k, c in rows}
+    for q, found in got.items():
+        exact = {k: max(-limit, min(limit - 1, sum(a * b for a, b in zip(fixed[q], c, strict=True)))) for k, c in fixed.items() if k != q}
+        assert found == sorted(exact.items(), key=lambda x: (-x[1], x[0]))

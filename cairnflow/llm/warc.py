@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnflow.llm.arrow import parts
+
 RECORD = (
     "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "source_headers string, payload_digest string, block_digest string, content_length long, block string"
@@ -34,31 +36,65 @@ _SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.str
 SILENT = "script|style|noscript|template|svg"
 LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?:/?({LINES})\b[^>]*|[/!?a-z][^>]*)>", re.S | re.I)
+# What stands between a tag's name and its end; quotes hold what they enclose only behind an equals sign.
+_REST = r"""(?>[^>"'=]+|=\s*+"[^"]*"|=\s*+'[^']*'|[="'])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>]){_REST}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*)({_REST})>|<[!?/][^>]*>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_LINE = re.compile(rf"(?:{LINES})\Z", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _EDGES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_BREAKS = re.compile(r"[\r\n]+")
+
+
+def _attribute(rest: str, name: str) -> str | None:
+    """The value of a tag's first attribute of that name."""
+    for m in _ATTRIBUTE.finditer(rest):
+        if m[1].lower() == name:
+            return html.unescape(m[2] or m[3] or m[4] or "").strip()
+    return None
+
+
+def _tidy(text: str) -> str:
+    return _EDGES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
+
+
+def read(page: str, base: str) -> tuple[str, str, str, list[str]]:
+    """(text, title, language, links) in one pass: comments and silent elements have none of them. The text has a line per
+    block element and single spaces; links are resolved against the base, in order."""
+    out, to, at, title, lang = [], [], 0, None, ""
+    for m in _TOKEN.finditer(page):
+        out.append(page[at : m.start()])
+        at = m.end()
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if _LINE.match(name):
+            out.append("\n")
+        if name == "title":
+            if not m[2] and title is None:
+                title = len(out)
+            elif m[2] and type(title) is int:
+                title = "".join(out[title:])
+        elif m[2]:
+            continue
+        elif name == "a" and (found := _attribute(m[4], "href")) is not None:
+            try:
+                to.append(urljoin(base, found))
+            except ValueError:
+                to.append(found)
+        elif name == "html" and not lang:
+            lang = _attribute(m[4], "lang") or ""
+    out.append(page[at:])
+    return _tidy("".join(out)), _tidy(title).replace("\n", " ") if isinstance(title, str) else "", lang, to
 
 
 def plain_text(page: str) -> str:
-    """Readable text, a line per block element, with single spaces."""
-    text = _MARKUP.sub(lambda m: "\n" if m[2] else "", page)
-    text = html.unescape(text)
-    return _EDGES.sub("\n", _BLANK.sub(" ", text)).strip()
+    return read(page, "")[0]
 
 
-def links(page: str, base: str) -> list[str]:
-    """Outlinks in order, resolved against the page's URI."""
-    out = []
-    for m in _LINK.finditer(page):
-        to = html.unescape(m[1] or m[2] or m[3] or "").strip()
-        try:
-            out.append(urljoin(base, to))
-        except ValueError:
-            out.append(to)
-    return out
+def one_line(text: str) -> str:
+    """A header's value, which can't hold line ends."""
+    return _BREAKS.sub(" ", text).strip()
 
 
 def digest(block: bytes) -> str:
@@ -73,11 +109,12 @@ def derive(key: int | None, uri: str, page: str, record_id: str | None, date: st
     """The two records of one response."""
     payload = digest(page.encode())
     source = record_id or identifier("response", str(key), uri, payload)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [("title", _BLANK.sub(" ", html.unescape(title[1])).replace("\n", " ").strip() if title else ""), ("language", lang[1] if lang else "")]
-    fields += sorted((f"source-{k.lower()}", v) for k, v in json.loads(headers or "{}").items())
-    fields += [("outlink", x.replace("\n", "%0A").replace("\r", "%0D")) for x in links(page, uri)]
-    blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(page)))
+    text, title, lang, links = read(page, uri)
+    uri = uri.replace("\n", "%0A").replace("\r", "%0D")
+    fields = [("title", title), ("language", one_line(lang))]
+    fields += sorted((f"source-{one_line(k).lower()}", one_line(v or "")) for k, v in json.loads(headers or "{}").items())
+    fields += [("outlink", x.replace("\n", "%0A").replace("\r", "%0D")) for x in links]
+    blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", text))
     out = []
     for kind, content, block in blocks:
         raw = block.encode()
@@ -93,8 +130,8 @@ def derivatives(
 
     def run(batches):
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                rows = [r for row in zip(*(c.to_pylist() for c in b.slice(a, 1000).columns), strict=True) for r in derive(*row)]
+            for some in parts(b, 2, rows=1000):
+                rows = [r for row in zip(*(c.to_pylist() for c in some.columns), strict=True) for r in derive(*row)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return responses.select(
@@ -109,9 +146,10 @@ def derivatives(
 
 def serialized(records: DataFrame) -> DataFrame:
     """(record): each record in WARC 1.1 format, without the blank lines that end it."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    clean = lambda value: F.regexp_replace(value, r"[\r\n]+", " ")
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), clean(value), F.lit("\r\n"))
     kept = F.from_json("source_headers", "map<string,string>")
-    source = F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(F.lit("WARC-X-Source-"), e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), "")
+    source = F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(F.lit("WARC-X-Source-"), clean(e["key"]), F.lit(": "), clean(e["value"]), F.lit("\r\n"))), "")
     return records.select(
         F.concat(
             F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")),
@@ -123,7 +161,7 @@ def serialized(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Compressed WARC files, one per partition, by Spark's own writer, wherever the path leads."""
+    """Compressed WARC files, one per partition, by Spark's own writer, wherever the path leads. A file is one gzip stream."""
     serialized(records).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 

@@ -1,6 +1,10 @@
 import glob
 import gzip
+import os
 from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pytest
 
 from cairnflow.llm import warc
 
@@ -63,3 +67,58 @@ def test_edge_cases(spark):
     assert len(got) == 10
     assert all(r["block"] == "" for r in got if r["warc_type"] == "conversion" and r["page_id"] in (1, 2, 3))
     assert warc.derivatives(df.where("false"), "page_id", "url", "html").count() == 0
+
+
+def test_quotes_comments_and_scripts():
+    page = """<a title="x > y" href="/z">link</a><p data-x="a>b">Hi</p><!-- <a href="/no"> --><script>"<a href='/no'>"</script>
+<a href=/w>w</a><A HREF='/v?a=1&amp;b=2' href="/second">v</a> it's <b class='c>d'>bold</b> 5 > 4 <a name="q">none</a><svg/>after <p title="open>rest"""
+    text, _, _, links = warc.read(page, "http://h.example/")
+    assert links == ["http://h.example/z", "http://h.example/w", "http://h.example/v?a=1&b=2"]
+    assert text == "link\nHi\nwv it's bold 5 > 4 noneafter\nrest"
+    assert warc.read("<a " + "=\"x\" " * 5000, "")[3] == []  # ends in no time
+
+
+def test_header_values_hold_no_line_ends(spark):
+    df = spark.createDataFrame([(1, "http://h.example/\r\nX: y", PAGE, {"E\nTag": "q\r\nWARC-Type: response"})], "page_id long, url string, html string, head map<string,string>")
+    records = warc.derivatives(df, "page_id", "url", "html", headers="head")
+    for r in warc.serialized(records).collect():
+        head = r["record"].partition("\r\n\r\n")[0].split("\r\n")
+        assert not any(x.startswith(("X:", "WARC-Type: response", "Tag")) for x in head) and not any("\n" in x for x in head)
+    meta = records.where("warc_type = 'metadata'").first()["block"]
+    assert "source-e tag: q WARC-Type: response\r\n" in meta
+
+
+class Reader(HTMLParser):
+    """Texts, titles and links by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.silent = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in warc.SILENT.split("|")
+        if tag == "a" and "href" in dict(attrs) and not self.silent:
+            self.links.append(next(v for k, v in attrs if k == "href") or "")
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in warc.SILENT.split("|")
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.out.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_all_pages_equal_a_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {(r["page_id"], r["warc_type"]): r for r in warc.op7_warc_derivatives(spark, "/root/testdata/sf0.01").collect()}
+    rows = pages.collect()
+    assert len(got) == 2 * len(rows)
+    for r in rows:
+        p = Reader()
+        p.feed(r["html"] or "")
+        p.close()
+        assert "".join(got[r["page_id"], "conversion"]["block"].split()) == "".join("".join(p.out).split())
+        links = [x.partition(": ")[2] for x in got[r["page_id"], "metadata"]["block"].split("\r\n") if x.startswith("outlink: ")]
+        assert links == [urljoin(r["url"] or "", x.strip()) for x in p.links]
+        assert got[r["page_id"], "conversion"]["payload_digest"] == warc.digest((r["html"] or "").encode())

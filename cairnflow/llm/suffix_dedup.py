@@ -16,7 +16,8 @@ thirty times fewer blocks than bytes.
 Shards, packed and compressed, are written once in buckets by their id; verdicts go to them, so
 texts are shuffled once. Before every shuffle a shard sends only its first of equal blocks or
 strings, so a passage in a third of all documents costs one entry per shard. Inside tasks all is
-done on arrays; equality is that of 64-bit hashes of whole blocks or strings.
+done on arrays. Between shards, blocks are equal if 64 bits of the block's hash and 32 of its seed's are, strings if 96 bits of
+two hashes are: of 10**13 open strings, one pair in a thousand such runs would be taken for equal that isn't.
 
 Defined cases: null and empty texts have no bytes and nothing to remove; equal rows are repeats
 of the first; documents of equal id go by shard; rows without an id are left out; an empty table gives an empty result; columns other
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.llm.shingles import mixed
-from cairnflow.llm.store import shared_folder, stored
+from cairnflow.llm.store import Scratch, stored
 
 LENGTH, SEED = 100, 32
 #: Bytes of text of a shard, and string starts that are looked at at once.
@@ -46,6 +47,7 @@ SHARD, STEP = 1_000_000, 1 << 19
 SHARDS = "shard long, ids binary, sizes binary, body binary"
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE2 = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _UNBASE = pow(_BASE, -1, 2**64)
 _INDEX_BITS = 24
@@ -62,7 +64,7 @@ class Text:
     """Hashes of any stretch of some bytes."""
 
     def __init__(self, body: np.ndarray):
-        self.size = len(body)
+        self.size, self.body, self._more = len(body), body, None
         up, self.down = _powers(1 << max(20, len(body).bit_length()))
         self.sums = np.zeros(len(body) + 1, np.uint64)
         np.cumsum(_BYTE[body] * up[: len(body)], out=self.sums[1:])
@@ -70,6 +72,14 @@ class Text:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
+    def marks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """32 more bits of the hash, from sums with other numbers for the bytes."""
+        if self._more is None:
+            up = _powers(1 << max(20, self.size.bit_length()))[0]
+            self._more = np.zeros(self.size + 1, np.uint64)
+            np.cumsum(_BYTE2[self.body] * up[: self.size], out=self._more[1:])
+        return (mixed((self._more[ends] - self._more[starts]) * self.down[starts]) >> np.uint64(32)).astype(np.uint32)
+
     def all(self, length: int) -> np.ndarray:
         n = self.size - length + 1
         return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
@@ -131,17 +141,19 @@ class Shard:
         """Blocks with no equal one before them in this shard."""
         return first_of(self.block ^ mixed(self.seed))
 
-    def strings(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of all strings of the given blocks, in order."""
+    def strings(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes and marks of all strings of the given blocks, in order."""
         n = self.last[open_] - self.first[open_] + 1
         starts = np.repeat(self.first[open_] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out = np.zeros(len(starts), np.uint64)
+        out, marks = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint32)
         for a in range(0, len(self.body), STEP):
             i, j = np.searchsorted(starts, [a, a + STEP])
             if j > i:
                 t = Text(self.body[a : a + STEP + self.length - 1])
-                out[i:j] = t.hashes(starts[i:j] - a, starts[i:j] - a + self.length)
-        return starts, out
+                own = starts[i:j] - a
+                out[i:j] = t.hashes(own, own + self.length)
+                marks[i:j] = t.marks(own, own + self.length)
+        return starts, out, marks
 
 
 def first_of(x: np.ndarray) -> np.ndarray:
@@ -303,16 +315,16 @@ def settle_strings(shards: DataFrame, told: DataFrame, buckets: int, length: int
         for b in batches:
             for name, *cols, open_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = Shard(*cols, length, seed)
-                starts, h = s.strings(_places(open_))
-                at = np.flatnonzero(first_of(h))
-                yield from _deal(name, buckets, h[at], [h[at], s.doc(starts[at]), starts[at]])
+                starts, h, marks = s.strings(_places(open_))
+                at = np.flatnonzero(first_of(h ^ mixed(marks.astype(np.uint64))))
+                yield from _deal(name, buckets, h[at], [marks[at], h[at], s.doc(starts[at]), starts[at]])
 
     def judge(batches):
         for rows in _per_bucket(batches):
-            names, shard, (h, doc, at) = _gathered(rows, 1, 0)
-            order = np.lexsort((at, shard, doc, h))
-            h, shard, at = h[order], shard[order], at[order]
-            again = np.r_[False, h[1:] == h[:-1]]
+            names, shard, (marks, h, doc, at) = _gathered(rows, 1, 1)
+            order = np.lexsort((at, shard, doc, marks, h))
+            h, marks, shard, at = h[order], marks[order], shard[order], at[order]
+            again = np.r_[False, (h[1:] == h[:-1]) & (marks[1:] == marks[:-1])]
             yield from _tell(names, shard[again], at[again], STRING)
 
     sent = shards.join(opened, "shard").select("shard", "ids", "sizes", "body", "places").mapInArrow(send, SENT)
@@ -326,8 +338,8 @@ def covered(s: Shard, equal: np.ndarray, open_: np.ndarray, strings: np.ndarray)
     delta = np.zeros(len(s.body) + 1, np.int32)
     np.add.at(delta, s.first[dup], 1)
     np.add.at(delta, s.last[dup] + s.length, -1)
-    starts, h = s.strings(open_)
-    again = np.concatenate([starts[~first_of(h)], strings])
+    starts, h, marks = s.strings(open_)
+    again = np.concatenate([starts[~first_of(h ^ mixed(marks.astype(np.uint64)))], strings])
     np.add.at(delta, again, 1)
     np.add.at(delta, again + s.length, -1)
     return np.cumsum(delta[:-1]) > 0
@@ -346,13 +358,15 @@ def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: in
     """KEPT rows, one per row of docs, and these rows' columns named in carry; kept names one of FORMS."""
     form_type, form = FORMS[kept]
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"shards_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
+    path = scratch.new_path(name)
+    scratch.tables.append(name)
     packed_shards(docs, key, text, carry).repartition(p, "shard").write.bucketBy(p, "shard").option("path", path).saveAsTable(name)
     shards, buckets = spark.table(name), 4 * p
-    blocks_told = stored(settle_blocks(shards, buckets, length, seed))
-    strings_told = stored(settle_strings(shards, blocks_told, buckets, length, seed))
+    blocks_told = scratch.stored(settle_blocks(shards, buckets, length, seed))
+    strings_told = scratch.stored(settle_strings(shards, blocks_told, buckets, length, seed))
     told = blocks_told.union(strings_told).groupBy("shard").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("places"))).alias(f"k{k}") for k in (EQUAL, OPEN, STRING)])
 
     def run(batches):
@@ -371,7 +385,10 @@ def removed(docs: DataFrame, key: str, text: str, length: int = LENGTH, seed: in
                 yield pa.RecordBatch.from_arrays([*own, *(_extra(more[3]) if carry else ())], [*(x.split()[0] for x in KEPT.split(", ")), *carry])
 
     schema = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return shards.join(told, "shard", "left").select("shard", "ids", "sizes", "body", "k1", "k2", "k3", *["extra"] * bool(carry)).mapInArrow(run, KEPT + form_type + schema)
+    rest = shards.join(told, "shard", "left").select("shard", "ids", "sizes", "body", "k1", "k2", "k3", *["extra"] * bool(carry))
+    out = stored(rest.mapInArrow(run, KEPT + form_type + schema))
+    scratch.drop()
+    return out
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

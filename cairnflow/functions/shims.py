@@ -30,7 +30,34 @@ def replace_first(s: Column, pattern: str, by: str) -> Column:
 
 
 def start_of_interval(ts: Column, seconds: int) -> Column:
-    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)
+    """The start of the interval of the epoch's grid that ts is in: 3600, 300 and 60 seconds are hours, five minutes and minutes."""
+    return F.timestamp_seconds(F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds) * seconds)
+
+
+def start_of_week(ts: Column, mode: int = 0) -> Column:
+    """The week's first day: Sunday for even modes, Monday for odd ones."""
+    day = F.to_date(ts)
+    return F.date_sub(day, (F.dayofweek(day) + 5) % 7) if mode % 2 else F.date_sub(day, F.dayofweek(day) - 1)
+
+
+def split_by_char(separator: str, s: Column) -> Column:
+    """The parts between separators, whatever these mean in patterns."""
+    if len(separator) != 1:
+        raise ValueError("one character")
+    return F.split(s, rf"\Q{separator}\E", -1)
+
+
+def position_ci(haystack: Column, needle: str, start: int = 1) -> Column:
+    """Where needle is first found from start on, counted from 1, in any case; 0 if it isn't."""
+    return F.when(F.lit(start) > F.length(haystack) + 1, F.lit(0)).otherwise(F.locate(needle.lower(), F.lower(haystack), max(1, start))).cast("long")
+
+
+def in_frame(x: Column, order, first: int, last: int, offset: int, default=None) -> Column:
+    """The value offset rows after the current one (before it, if negative) if that row is in the frame of rows first to last around
+    the current one, else the default."""
+    if not first <= offset <= last:
+        return F.lit(default)
+    return F.lag(x, -offset, default).over(order) if offset < 0 else F.lead(x, offset, default).over(order)
 
 
 def epoch(ts: Column) -> Column:

@@ -82,6 +82,19 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str], item: str, k: int, weight:
     return sums.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
+def top_state(item: str, tracked: int = 1000) -> Column:
+    """Bounded state of the commonest items; top_merged joins states, and top_read gives the k items with the highest counts."""
+    return F.expr(f"approx_top_k_accumulate({item}, {tracked})")
+
+
+def top_merged(state: str, tracked: int = 1000) -> Column:
+    return F.expr(f"approx_top_k_combine({state}, {tracked})")
+
+
+def top_read(state: str, k: int) -> Column:
+    return F.expr(f"approx_top_k_estimate({state}, {k})")
+
+
 # Distinct counts
 
 

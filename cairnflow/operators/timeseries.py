@@ -49,7 +49,18 @@ def series(df: DataFrame, ts: str, value: str | Column, labels: Sequence[str]) -
     """Samples of a table; timestamps are cut to milliseconds."""
     ms = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000)
     more = [F.col("stale")] if "stale" in df.columns else []
-    return Series(df.select(*labels, ms.alias("ts"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"), *more), tuple(labels))
+    return Series(df.select(*labels, ms.alias("ts"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"), *more, F.col(ts).alias("raw_ts")), tuple(labels))
+
+
+def between(s: Series, after: int, until: int) -> Series:
+    """Samples in (after, until]. The table's own timestamps are compared with literals, so the scan reads no other row groups."""
+    df = s.df
+    if "raw_ts" in df.columns:
+        kind = df.schema["raw_ts"].dataType.simpleString()
+        slack = 0 if kind == "timestamp" else 26 * 3_600_000  # local times may be off by a zone and an hour
+        bound = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)
+        df = df.where((F.col("raw_ts") >= bound(after + 1 - slack)) & (F.col("raw_ts") < bound(until + 1 + slack))).drop("raw_ts")
+    return Series(df.where((F.col("ts") > after) & (F.col("ts") <= until)), s.labels)
 
 
 def matching(s: Series, *matchers: tuple[str, str, str]) -> Series:
@@ -102,7 +113,7 @@ def windows(s: Series, times: Times, window: int, offset: int = 0) -> DataFrame:
     """Each sample once per evaluation time t with ts in (t - offset - window, t - offset], with `t` and `open` (the excluded start)."""
     first = F.greatest(F.ceil((F.col("ts") + offset - times.start) / times.step), F.lit(0))
     last = F.least(F.ceil((F.col("ts") + (offset + window - times.start)) / times.step) - 1, F.lit(times.last))
-    near = s.df.where((F.col("ts") > times.start - offset - window) & (F.col("ts") <= times.end - offset))
+    near = between(s, times.start - offset - window, times.end - offset).df
     steps = near.withColumn("k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     t = F.col("k") * times.step + times.start
     return steps.withColumn("t", t).withColumn("open", t - offset - window).drop("k")
@@ -124,12 +135,11 @@ def _spread(v: Vector, times: Times) -> Vector:
     return Vector(v.df.drop("t").withColumn("t", F.explode(F.transform(steps, lambda t: t.cast("long")))).select(*v.labels, "t", "value"), v.labels)
 
 
-def _extrapolated(kind: str, window: int) -> Column:
-    """rate, increase or delta from n, ft, lt, fv, lv and resets of a window, extrapolated to its ends."""
+def extrapolated(kind: str, window: int, change: Column) -> Column:
+    """rate, increase or delta from n, ft, lt and fv of a window and the change in it, extrapolated to its ends."""
     counter = kind != "delta"
     span = (F.col("lt") - F.col("ft")) / 1000
     each = span / F.greatest(F.col("n") - 1, F.lit(1))
-    change = F.col("lv") - F.col("fv") + (F.col("resets") if counter else F.lit(0.0))
     before, after = (F.col("ft") - F.col("open")) / 1000, (F.col("open") + window - F.col("lt")) / 1000
     before, after = (F.when(x >= each * 1.1, each / 2).otherwise(x) for x in (before, after))
     if counter:  # a counter can't have been below zero
@@ -159,6 +169,9 @@ def over(s: Series, fn: str, times: Times, window: int, offset: int = 0, at: int
         return _spread(over(s, fn, Times(at, at), window, offset, **args), times)
     if "stale" in s.df.columns:
         s = Series(s.df.where(~F.col("stale")).drop("stale"), s.labels)
+    s = between(s, times.start - offset - window, times.end - offset)  # a sample before all windows is no predecessor in any
+    if fn in MERGED and times.last and window % times.step == 0 and window > times.step:
+        return _from_steps(s, fn, times, window, offset)
     by_series = Window.partitionBy(*s.labels).orderBy("ts")
     paired = fn in ("rate", "increase", "irate", "idelta", "changes", "resets")
     if paired:
@@ -172,7 +185,7 @@ def over(s: Series, fn: str, times: Times, window: int, offset: int = 0, at: int
     if fn in ("rate", "increase", "delta"):
         drop = F.sum(F.when(v < before, before).otherwise(0.0)) if fn != "delta" else F.lit(0.0)
         g = w.groupBy(*keys, "open").agg(F.count("*").alias("n"), F.min("ts").alias("ft"), F.max("ts").alias("lt"), F.min_by("value", "ts").alias("fv"), F.max_by("value", "ts").alias("lv"), drop.alias("resets"))
-        got = g.select(*keys, _extrapolated(fn, window).alias("value"))
+        got = g.select(*keys, extrapolated(fn, window, F.col("lv") - F.col("fv") + F.col("resets")).alias("value"))
     elif fn in ("distinct", "entropy", "l2"):
         c = w.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("c"))
         value = {"distinct": F.count("*").cast("double"), "entropy": F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c"), "l2": F.sqrt(F.sum(F.col("c") * F.col("c")))}[fn]
@@ -185,6 +198,32 @@ def over(s: Series, fn: str, times: Times, window: int, offset: int = 0, at: int
     return Vector(got.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value")), s.labels)
 
 
+#: Range functions of states that merge: what a step's state holds, and how a window reads it.
+MERGED = {
+    "sum": (lambda v, ts: {"a": F.sum(v)}, lambda: F.sum("a")),
+    "count": (lambda v, ts: {"a": F.count("*").cast("double")}, lambda: F.sum("a")),
+    "avg": (lambda v, ts: {"a": F.sum(v), "n": F.count("*")}, lambda: F.sum("a") / F.sum("n")),
+    "min": (lambda v, ts: {"a": least_number(v)}, lambda: least_number(F.col("a"))),
+    "max": (lambda v, ts: {"a": greatest_number(v)}, lambda: greatest_number(F.col("a"))),
+    "present": (lambda v, ts: {"a": F.lit(1.0)}, lambda: F.max("a")),
+    "last": (lambda v, ts: {"a": F.max_by(v, ts), "at": F.max(ts)}, lambda: F.max_by("a", "at")),
+    "first": (lambda v, ts: {"a": F.min_by(v, ts), "at": F.min(ts)}, lambda: F.min_by("a", "at")),
+    "ts_of_first": (lambda v, ts: {"a": F.min(ts)}, lambda: F.min("a") / 1000),
+    "ts_of_last": (lambda v, ts: {"a": F.max(ts)}, lambda: F.max("a") / 1000),
+}
+
+
+def _from_steps(s: Series, fn: str, times: Times, window: int, offset: int) -> Vector:
+    """A range function over states of single steps: a row is read once, and states, not rows, go to all windows they are in."""
+    state, read = MERGED[fn]
+    step = F.ceil((F.col("ts") + offset - times.start) / times.step)  # the first evaluation whose window holds the sample
+    steps = s.df.withColumn("_k", step).groupBy(*s.labels, "_k").agg(*[c.alias(n) for n, c in state(F.col("value"), F.col("ts")).items()])
+    first, last = F.greatest(F.col("_k"), F.lit(0)), F.least(F.col("_k") + (window // times.step - 1), F.lit(times.last))
+    spread = steps.where(first <= last).withColumn("_at", F.explode(F.sequence(first, last))).withColumn("t", F.col("_at") * times.step + times.start)
+    got = spread.groupBy(*s.labels, "t").agg(read().alias("value"))
+    return Vector(got.where(F.col("value").isNotNull()).select(*s.labels, "t", F.col("value").cast("double").alias("value")), s.labels)
+
+
 def _range_value(fn: str, v: Column, ts: Column, before: Column | None, offset: int, args: dict) -> Column:
     latest = F.max_by(F.struct(v.alias("v"), before.alias("p"), ts.alias("ts"), F.col("pt")), ts) if before is not None else None
     x = (ts - F.col("t") + offset) / 1000.0  # seconds from the evaluation time
@@ -246,17 +285,30 @@ def clamp(v: Vector, low: float, high: float) -> Vector:
     return mapped(v if low <= high else Vector(v.df.where(F.lit(False)), v.labels), _clamp(low, high))
 
 
+def whole(f):
+    """ceil or floor as doubles: numbers that are whole or none stay as they are."""
+    near = lambda x: f(F.when(F.abs(x) < 2.0**53, x)).cast("double")
+    return lambda x: F.when(F.isnan(x) | (F.abs(x) >= 2.0**53) | (x == 0), x).when((x < 0) & (near(x) == 0), F.lit(-0.0)).otherwise(near(x))
+
+
 def rounded(v: Vector, to: float = 1.0) -> Vector:
-    return mapped(v, lambda x: F.floor(x / to + 0.5) * to)
+    """To the nearest multiple, halves up."""
+    return mapped(v, lambda x: whole(F.floor)(divide(x, F.lit(to)) + 0.5) * to)
+
+
+def _calendar(f):
+    """A part of the UTC time that the value gives in seconds; NaN of NaN and of times that no calendar has."""
+    far = lambda x: F.isnan(x) | (F.abs(x) > 2.5e11)
+    utc = lambda x: F.to_utc_timestamp(F.timestamp_seconds(F.floor(x)), F.current_timezone())
+    return lambda x: F.when(far(x), F.lit(NAN)).otherwise(f(utc(F.when(far(x), F.lit(0.0)).otherwise(x))).cast("double"))
 
 
-_seconds = F.timestamp_seconds
 POINTWISE = {
-    "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "exp": F.exp, "ln": lambda x: logarithm(F.ln, x), "log2": lambda x: logarithm(F.log2, x), "log10": lambda x: logarithm(F.log10, x),
+    "abs": F.abs, "ceil": whole(F.ceil), "floor": whole(F.floor), "round": lambda x: whole(F.floor)(x + 0.5), "exp": F.exp, "ln": lambda x: logarithm(F.ln, x), "log2": lambda x: logarithm(F.log2, x), "log10": lambda x: logarithm(F.log10, x),
     "sqrt": lambda x: F.when(x < 0, F.lit(NAN)).otherwise(F.sqrt(x)), "sgn": F.signum, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan,
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh, "deg": F.degrees, "rad": F.radians,
-    "minute": lambda x: F.minute(_seconds(x)), "hour": lambda x: F.hour(_seconds(x)), "day_of_week": lambda x: F.dayofweek(_seconds(x)) - 1, "day_of_month": lambda x: F.dayofmonth(_seconds(x)),
-    "day_of_year": lambda x: F.dayofyear(_seconds(x)), "month": lambda x: F.month(_seconds(x)), "year": lambda x: F.year(_seconds(x)), "days_in_month": lambda x: F.dayofmonth(F.last_day(_seconds(x))),
+    "minute": _calendar(F.minute), "hour": _calendar(F.hour), "day_of_week": _calendar(lambda x: F.dayofweek(x) - 1), "day_of_month": _calendar(F.dayofmonth), "day_of_year": _calendar(F.dayofyear),
+    "month": _calendar(F.month), "year": _calendar(F.year), "days_in_month": _calendar(lambda x: F.dayofmonth(F.last_day(x))),
 }
 
 
@@ -273,11 +325,23 @@ def aggregate(v: Vector, op: str, by: Sequence[str] | None = None, without: Sequ
     return Vector(v.df.groupBy(*keys, "t").agg(f(x).cast("double").alias("value")), keys)
 
 
+def number_text(x: Column) -> Column:
+    """The shortest text that reads back as x, without an exponent."""
+    plain = F.regexp_replace(F.abs(x).cast("string"), r"\.0(?=E|$)", "")
+    digits = F.translate(F.regexp_extract(plain, "^[0-9.]+", 0), ".", "")
+    e = F.regexp_extract(plain, r"E(-?\d+)$", 1)
+    power = F.when(e != "", e.cast("int")).otherwise(F.lit(0))
+    point = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.when(point <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, point)))
+    body = F.when(e == "", plain).when(power < 0, small).otherwise(large)
+    signed = F.concat(F.when(F.substring(x.cast("string"), 1, 1) == "-", F.lit("-")).otherwise(F.lit("")), body)
+    return F.when(F.isnan(x), F.lit("NaN")).when(x == INF, F.lit("+Inf")).when(x == -INF, F.lit("-Inf")).otherwise(signed)
+
+
 def count_values(v: Vector, label: str, by: Sequence[str] = ()) -> Vector:
-    """How many series have each value, which becomes a label (without an exponent or trailing zeros)."""
-    x = F.col("value")
-    text = F.when(F.isnan(x), F.lit("NaN")).when(x == INF, F.lit("+Inf")).when(x == -INF, F.lit("-Inf")).otherwise(F.regexp_replace(F.format_string("%.12f", x), r"\.?0+$", ""))
-    return Vector(v.df.withColumn(label, text).groupBy(*by, label, "t").agg(F.count("*").cast("double").alias("value")), (*by, label))
+    """How many series have each value, which becomes a label."""
+    return Vector(v.df.withColumn(label, number_text(F.col("value"))).groupBy(*by, label, "t").agg(F.count("*").cast("double").alias("value")), (*by, label))
 
 
 def ranked(v: Vector, op: str, k: int, by: Sequence[str] = ()) -> Vector:
@@ -348,7 +412,10 @@ def binary(a: Vector, op: str, b: Vector, on: Sequence[str] | None = None, ignor
     else:
         test = COMPARE[op](x, y)
         value, hit = (test.cast("double"), F.lit(True)) if as_bool else (x, test)
-    return Vector(joined.where(hit).select(*out, F.col("l.t").alias("t"), value.alias("value")), labels)
+    found = joined.where(hit).select(*out, F.col("l.t").alias("t"), value.alias("value"))
+    if group:  # labels that are taken from the one side may make two series one
+        found = _unique(found, labels, "result")
+    return Vector(found, labels)
 
 
 def set_op(a: Vector, op: str, b: Vector, on: Sequence[str] | None = None, ignoring: Sequence[str] | None = None) -> Vector:
@@ -397,6 +464,41 @@ def absent(v: Vector, times: Times, labels: dict[str, str] | None = None) -> Vec
     return Vector(gone.select(*[F.lit(x).alias(k) for k, x in labels.items()], "t", F.lit(1.0).alias("value")), tuple(labels))
 
 
+def absent_over_time(s: Series, times: Times, window: int, labels: dict[str, str] | None = None, offset: int = 0) -> Vector:
+    """1 at each time whose window holds no sample of any series."""
+    return absent(over(s, "present", times, window, offset), times, labels)
+
+
+def time_of(like: DataFrame, times: Times) -> Vector:
+    """Each evaluation time, in seconds."""
+    return Vector(times.frame(like).select("t", (F.col("t") / 1000).alias("value")), ())
+
+
+def constant(like: DataFrame, x: float, times: Times) -> Vector:
+    """One number at all times, without labels; pi() is constant(df, math.pi, times)."""
+    return Vector(times.frame(like).select("t", F.lit(float(x)).alias("value")), ())
+
+
+def timestamps(s: Series, times: Times, lookback: int, offset: int = 0) -> Vector:
+    """The time, in seconds, of the sample that instant() takes."""
+    return instant(Series(s.df.withColumn("value", F.col("ts") / 1000), s.labels), times, lookback, offset)
+
+
+def pairwise(v: Vector, op: str, x: float) -> Vector:
+    """clamp_min (the larger of value and x) or clamp_max (the smaller); NaN stays."""
+    return mapped(v, _clamp(x, INF) if op == "clamp_min" else _clamp(-INF, x))
+
+
+def histogram_quantiles(v: Vector, label: str, qs: Sequence[float], le: str = "le") -> Vector:
+    """histogram_quantile for several q, which become a label."""
+    each = [histogram_quantile(v, q, le) for q in qs]
+    frames = [r.df.withColumn(label, F.lit(f"{q:g}")) for q, r in zip(qs, each, strict=True)]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return Vector(out, (*each[0].labels, label))
+
+
 def histogram_quantile(v: Vector, q: float, le: str = "le") -> Vector:
     """Quantile of classic buckets; they must end in +Inf and are made to ascend."""
     keys = tuple(x for x in v.labels if x != le)

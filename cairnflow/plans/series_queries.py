@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -117,6 +118,53 @@ def _regressed(fn: str) -> str:
     return _agg(f"round({value}, 6)", having="HAVING count(*) >= 2")
 
 
+#: Numbers at the edges of arithmetic, as one series each, and times of the calendar.
+_ODD = ("nan", "inf", "-inf", "1e300", "-1e300", "1e-13", "2e-13", "-0.5", "0.5", "1.5", "2.5", "0", "-7.25", "9007199254740993")
+_TIMES = ("nan", "0", "951782400", "1709164800.5", "1735689599", "-1")
+
+
+def _numbers(spark: SparkSession, texts: tuple[str, ...]) -> ts.Vector:
+    rows = [(t, 0, float(t)) for t in texts]
+    return ts.Vector(spark.createDataFrame(rows, "x string, t long, value double"), ("x",))
+
+
+def _pointwise(fns: tuple[str, ...], texts: tuple[str, ...]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = _numbers(spark, texts).df
+        shown = lambda c: F.when(F.isnan(c), F.lit("nan")).when(F.abs(c) == F.lit(float("inf")), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(F.format_string("%.6e", c))
+        return df.select("x", *[shown(ts.POINTWISE[f](F.col("value")).cast("double")).alias(f) for f in fns])
+
+    return run
+
+
+def _pointwise_sql(columns: dict[str, str], texts: tuple[str, ...]) -> str:
+    values = ", ".join(f"('{t}', CAST('{t}' AS DOUBLE))" for t in texts)
+    shown = ", ".join(f"CASE WHEN isnan({c}) THEN 'nan' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'inf' ELSE '-inf' END ELSE format('{{:.6e}}', CAST({c} AS DOUBLE)) END AS {n}" for n, c in columns.items())
+    return f"SELECT x, {shown} FROM (VALUES {values}) AS v(x, value)"
+
+
+_LN = "CASE WHEN isnan(value) OR value < 0 THEN 'nan'::DOUBLE WHEN value = 0 THEN '-inf'::DOUBLE ELSE {}(CASE WHEN value > 0 THEN value ELSE 1 END) END"
+_SAFE = "CASE WHEN isnan(value) OR isinf(value) THEN 'nan'::DOUBLE ELSE {}(CASE WHEN isinf(value) THEN 0 ELSE value END) END"
+_UNIT = "CASE WHEN abs(value) <= 1 THEN {}(CASE WHEN abs(value) <= 1 THEN value ELSE 0 END) ELSE 'nan'::DOUBLE END"
+_POINTWISE_SQL = {
+    "abs": "abs(value)", "ceil": "ceil(value)", "floor": "floor(value)", "round": "CASE WHEN abs(value) < 9e15 THEN floor(value + 0.5) ELSE value END", "exp": "exp(value)",
+    "ln": _LN.format("ln"), "log2": _LN.format("log2"), "log10": _LN.format("log10"), "sqrt": "CASE WHEN value < 0 THEN 'nan'::DOUBLE ELSE sqrt(abs(value)) END", "sgn": "CASE WHEN isnan(value) THEN value ELSE CAST(sign(value) AS DOUBLE) END",
+    "atan": "atan(value)", "sinh": "CASE WHEN isnan(value) OR isinf(value) THEN value ELSE sinh(value) END", "cosh": "CASE WHEN isnan(value) THEN value WHEN isinf(value) THEN abs(value) ELSE cosh(value) END", "tanh": "tanh(value)",
+    "deg": "degrees(value)", "rad": "radians(value)", "asin": _UNIT.format("asin"), "acos": _UNIT.format("acos"),
+}
+_TRIG = ("-0.5", "0.5", "1.5", "0", "-7.25", "nan")
+_TRIG_SQL = {f: _SAFE.format(f) for f in ("sin", "cos", "tan", "asinh")} | {"acosh": "CASE WHEN value >= 1 THEN acosh(CASE WHEN value >= 1 THEN value ELSE 1 END) ELSE 'nan'::DOUBLE END", "atanh": "CASE WHEN abs(value) < 1 THEN atanh(CASE WHEN abs(value) < 1 THEN value ELSE 0 END) ELSE 'nan'::DOUBLE END"}
+_AT = "(to_timestamp(CASE WHEN isnan(value) THEN 0 ELSE floor(value) END) AT TIME ZONE 'UTC')"
+_CALENDAR_SQL = {n: f"CASE WHEN isnan(value) THEN value ELSE CAST({e} AS DOUBLE) END" for n, e in {
+    "minute": f"minute({_AT})", "hour": f"hour({_AT})", "day_of_week": f"dayofweek({_AT})", "day_of_month": f"day({_AT})", "day_of_year": f"dayofyear({_AT})", "month": f"month({_AT})", "year": f"year({_AT})", "days_in_month": f"day(last_day({_AT}))",
+}.items()}
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    v = _numbers(spark, ("0", "1e-13", "2e-13", "1e-13", "0.1", "12.5", "1e7", "nan"))
+    return ts.count_values(v, "n").df
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "ts_instant": (lambda s, d: ts.instant(gauge(s, d, "event_type", "user_id"), GRID, WINDOW).df, _agg("arg_max(value, tt)", "event_type, user_id")),
     "ts_matchers": (lambda s, d: ts.instant(ts.matching(gauge(s, d), ("event_type", "=~", "p.*|view"), ("event_type", "!=", "view")), GRID, WINDOW).df, _w() + "SELECT event_type, t, arg_max(value, tt) AS value FROM w WHERE event_type LIKE 'p%' GROUP BY event_type, t"),
@@ -167,6 +215,20 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "ts_scalar": (lambda s, d: _r(ts.scalar(ts.aggregate(ts.over(gauge(s, d), "sum", SOME, WINDOW), "sum"), SOME), 6), f"WITH {_S}, g AS (SELECT unnest(generate_series({SOME.start}, {SOME.end}, {SOME.step})) AS t) SELECT t, round(sum(value), 6) AS value FROM s JOIN g ON s.ts > g.t - {WINDOW} AND s.ts <= g.t GROUP BY t"),
     "ts_clamp_round": (lambda s, d: ts.rounded(ts.clamp(_counts(s, d), 2, 9), 5).df, _agg("floor(greatest(2, least(9, count(*))) / 5.0 + 0.5) * 5")),
     "ts_math": (lambda s, d: _r(ts.mapped(ts.mapped(_counts(s, d), ts.POINTWISE["ln"]), ts.POINTWISE["sqrt"])), _agg("round(sqrt(ln(count(*))), 9)")),
+    "ts_pointwise": (_pointwise(tuple(_POINTWISE_SQL), _ODD), _pointwise_sql(_POINTWISE_SQL, _ODD)),
+    "ts_trigonometry": (_pointwise(tuple(_TRIG_SQL), _TRIG), _pointwise_sql(_TRIG_SQL, _TRIG)),
+    "ts_calendar": (_pointwise(tuple(_CALENDAR_SQL), _TIMES), _pointwise_sql(_CALENDAR_SQL, _TIMES)),
+    "ts_count_values_text": (_counted, "SELECT * FROM (VALUES ('0', 0, 1.0::DOUBLE), ('0.0000000000001', 0, 2), ('0.0000000000002', 0, 1), ('0.1', 0, 1), ('12.5', 0, 1), ('10000000', 0, 1), ('NaN', 0, 1)) AS v(n, t, value)"),
+    "ts_time": (lambda s, d: ts.time_of(gauge(s, d).df, GRID).df, f"WITH {_G} SELECT t, t / 1000.0::DOUBLE AS value FROM g"),
+    "ts_vector_pi": (lambda s, d: _r(ts.constant(gauge(s, d).df, math.pi, GRID)), f"WITH {_G} SELECT t, round(pi(), 9) AS value FROM g"),
+    "ts_timestamp": (lambda s, d: ts.timestamps(gauge(s, d), GRID, WINDOW).df, _agg("max(ts) / 1000.0")),
+    "ts_absent_over_time": (lambda s, d: ts.absent_over_time(ts.matching(gauge(s, d), ("event_type", "=", "error")), GRID, HOUR, {"event_type": "error"}).df,
+                            f"WITH {_S}, {_G} SELECT 'error' AS event_type, t, CAST(1 AS DOUBLE) AS value FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'error' AND ts > t - {HOUR} AND ts <= t)"),
+    "ts_clamp_min_max": (lambda s, d: ts.pairwise(ts.pairwise(_counts(s, d), "clamp_min", 3), "clamp_max", 8).df, _agg("CAST(least(8, greatest(3, count(*))) AS DOUBLE)")),
+    "ts_histogram_quantiles": (lambda s, d: _r(ts.histogram_quantiles(_histogram(s, d), "q", (0.5, 0.9))),
+                               f"SELECT event_type, '0.9' AS q, t, value FROM ({_HIST_SQL}) UNION ALL SELECT event_type, '0.5' AS q, t, value FROM ({_HIST_SQL.replace('0.9', '0.5')})"),
+    "ts_sort": (lambda s, d: ts.ordered(_counts(s, d), descending=True), _agg("CAST(count(*) AS DOUBLE)")),
+    "ts_info": (lambda s, d: ts.info(_counts(s, d), ts.Vector(_counts(s, d).df.select("event_type", F.upper("event_type").alias("kind"), "t", "value"), ("event_type", "kind")), keys=("event_type",)).df, _agg("CAST(count(*) AS DOUBLE)").replace("SELECT event_type, t,", "SELECT event_type, upper(event_type) AS kind, t,")),
     "ts_time_functions": (lambda s, d: ts.mapped(ts.over(gauge(s, d), "ts_of_last", GRID, WINDOW), ts.POINTWISE["hour"]).df, _agg("CAST(hour(to_timestamp(max(ts) // 1000) AT TIME ZONE 'UTC') AS DOUBLE)")),
 }
 

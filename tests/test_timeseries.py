@@ -119,7 +119,12 @@ def test_view_store_reports_gaps(spark, tmp_path):
     assert store.read(spark, 0, 1000).agg({"n": "sum"}).collect()[0][0] == sum(0 < 7 * i <= 1000 for i in range(200))
     with pytest.raises(ValueError, match="after 1000"):
         store.read(spark, 0, 1100)
+    store.append(states, 400, 700)
+    with pytest.raises(ValueError, match="two runs"):
+        store.read(spark, 0, 1000)
     assert store.expire(spark, 500) == [0]
+    with pytest.raises(ValueError, match="after 0"):
+        store.read(spark, 0, 1000)
 
 
 def test_certified_semi_join_fails_on_a_missing_key(spark):
@@ -141,3 +146,39 @@ def test_registered_queries_read_all_events(spark):
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     first, last = spark.read.parquet(data).agg(F.min(at), F.max(at)).first()
     assert GRID.start - WINDOW < first and last <= GRID.end and GRID.step <= WINDOW
+
+
+def test_scans_are_pruned_by_literal_times(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    s = ts.series(events, "ts", "value", ("event_type",))
+    at = ts.Times(1_704_844_800_000, 1_704_844_800_000 + 7_200_000, 3_600_000)
+    for fn in ("sum", "rate", "quantile"):
+        plan = ts.over(s, fn, at, 3_600_000, **({"q": 0.5} if fn == "quantile" else {})).df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+        assert "GreaterThanOrEqual(ts," in pushed and "LessThan(ts," in pushed, (fn, plan)
+
+
+@pytest.mark.parametrize("fn", sorted(ts.MERGED))
+def test_states_of_steps_equal_rows(spark, fn):
+    rows = [(x, 37 * i % 1000, float(i * i % 17) if i % 9 else math.nan) for i in range(120) for x in "ab"]
+    s = made(spark, rows)
+    grid = ts.Times(50, 950, 100)
+    got = {(r["x"], r["t"]): r["value"] for r in ts.over(s, fn, grid, 300, offset=20).df.collect()}
+    want = {(r["x"], r["t"]): r["value"] for t in range(50, 951, 100) for r in ts.over(s, fn, ts.Times(t, t), 300, offset=20).df.collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isnan(got[k]) and math.isnan(want[k]) or got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_numbers_as_text(spark):
+    values = [0.0, 1e-13, 2e-13, 0.1, 12.5, -3.0, 1e7, 123456789.25, 1e22, 5e-324, math.inf, -math.inf, math.nan, 1 / 3]
+    df = spark.createDataFrame([(x,) for x in values], "value double")
+    got = [r[0] for r in df.select(ts.number_text(df["value"])).collect()]
+    assert got[:9] == ["0", "0.0000000000001", "0.0000000000002", "0.1", "12.5", "-3", "10000000", "123456789.25", "1" + "0" * 22]
+    assert got[10:13] == ["+Inf", "-Inf", "NaN"] and all(float(t) == x for t, x in zip(got[:10], values[:10], strict=True)) and float(got[13]) == 1 / 3
+
+
+def test_duplicate_result_series_fail(spark):
+    many = ts.Vector(spark.createDataFrame([("a", "x", 1, 1.0), ("a", "y", 1, 2.0)], "k string, h string, t long, value double"), ("k", "h"))
+    one = ts.Vector(spark.createDataFrame([("a", "z", 1, 2.0)], "k string, h string, t long, value double"), ("k", "h"))
+    with pytest.raises(Exception, match="result"):
+        ts.binary(many, "*", one, on=["k"], group="left", include=["h"]).df.collect()

@@ -299,7 +299,7 @@ def digests(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in emptied(split(batches), c.of_word, c.of_chunk, c.merges._fit):
+        for batch in emptied(split(batches), c.of_word, c.of_chunk):
             ids = [c.encode(t) for t in batch.column(1).to_pylist()]
             decoded = []
             for parts in c.decode_many(ids):
@@ -322,7 +322,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in emptied(split(batches), c.of_word, c.of_chunk, c.merges._fit):
+        for batch in emptied(split(batches), c.of_word, c.of_chunk):
             ids = [np.frombuffer(c.encode(t), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 

@@ -65,3 +65,16 @@ def test_repeated_rows_leave_one(spark):
     assert len(whole) == 1  # equal rows are repeats of the first and don't come back
     assert [r for r in cut(docs) if r[0] == 5] == sorted(r for r in rows if r[0] == 5)  # no pairs of equal rows
     assert len(cut(one)) == 3
+
+
+def test_odd_rows_and_empty_tables_pass_every_stage(spark, edge, empty):
+    odd = stored(edge.withColumn("mark", F.lit("m")).withColumn("rows", F.lit("r")).union(edge.where("doc_id = 6").withColumn("mark", F.lit("m")).withColumn("rows", F.lit("r"))))
+    for table, most in ((odd, 9), (stored(empty), 0)):
+        docs = table
+        for name, f in p.STAGES[:-1]:
+            alone = stored(f(spark, table, DATA))  # each stage meets the clashing columns, nulls, a very long text and a repeated row
+            assert alone.columns == list(p.COLUMNS) and alone.count() <= most, name
+            docs = stored(f(spark, docs, DATA))
+        packed = p.pack(spark, docs, DATA)
+        assert packed.count() >= docs.count() and (packed.count() == 0) == (most == 0)
+    assert sorted(r[0] for r in p.one_of_each(spark, odd, DATA).select("doc_id").collect()) == [1, 2, 3, 5, 6, 7, 8]

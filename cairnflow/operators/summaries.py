@@ -64,6 +64,35 @@ def estimates(states: DataFrame, items: DataFrame, keys: Sequence[str], item: Se
     return found.groupBy(*keys, *item).agg((F.percentile("x", 0.5) if signed else F.min("x")).alias("estimate"))
 
 
+# One grid of counters for all groups: a cell is a Count-Min, `spread` rows of `cells` of them
+
+
+def _in_grid(df: DataFrame, group: Sequence[str], cells: int, spread: int) -> DataFrame:
+    each = df.withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return each.withColumn("grid_cell", F.pmod(F.xxhash64(F.lit("grid"), "grid_row", *group), F.lit(cells)).cast("int"))
+
+
+def shared_grid(df: DataFrame, group: Sequence[str], item: Sequence[str], cells: int, spread: int, width: int, depth: int) -> DataFrame:
+    """(grid_row, grid_cell, row, cell, w): frequencies of items in any number of groups in cells * spread * width * depth counters.
+
+    A group's items go to one cell in each row of the grid. Rows are counted per group and item first, so a hot group is a few rows by
+    the time it is spread. merged(states, [], GRID) adds grids up; groups aren't kept, so a grid can't be merged across them."""
+    known = df.where(F.expr(" AND ".join(f"`{x}` IS NOT NULL" for x in (*group, *item))))
+    counted = known.groupBy(*group, *item).agg(F.count("*").alias("_n"))
+    # items of different groups in one cell share its counters, so the item alone is hashed there
+    return count_min(_in_grid(counted, group, cells, spread), ["grid_row", "grid_cell"], item, width, depth, F.col("_n"))
+
+
+GRID = ("grid_row", "grid_cell", "row", "cell")
+
+
+def grid_estimates(states: DataFrame, asked: DataFrame, group: Sequence[str], item: Sequence[str], cells: int, spread: int, width: int, depth: int) -> DataFrame:
+    """(group, item, estimate): the least of the grid's rows, never below the true count."""
+    places = _in_grid(asked.select(*group, *item).distinct(), group, cells, spread)
+    at = estimates(states, places, ["grid_row", "grid_cell"], item, width, depth)
+    return places.join(at, ["grid_row", "grid_cell", *item]).groupBy(*group, *item).agg(F.min("estimate").alias("estimate"))
+
+
 def total(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total weight, exact: any one row of a Count-Min holds it."""
     return states.where("row = 0").groupBy(*keys).agg(F.sum("w").alias("total"))

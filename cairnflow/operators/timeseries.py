@@ -8,8 +8,9 @@ times whose left-open window (t - w, t] holds it by arithmetic on its timestamp,
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ NAN, INF = float("nan"), float("inf")
 class Series:
     df: DataFrame
     labels: tuple[str, ...]
+    kind: str = ""  # counter, gauge, histogram or native_histogram; empty: not known
 
 
 @dataclass(frozen=True)
@@ -45,11 +47,11 @@ class Times:
         return df.sparkSession.range(self.last + 1).select((F.col("id") * self.step + self.start).alias("t"))
 
 
-def series(df: DataFrame, ts: str, value: str | Column, labels: Sequence[str]) -> Series:
-    """Samples of a table; timestamps are cut to milliseconds."""
+def series(df: DataFrame, ts: str, value: str | Column, labels: Sequence[str], kind: str = "") -> Series:
+    """Samples of a table; timestamps are cut to milliseconds. kind: the metric's type, if it is known."""
     ms = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000)
     more = [F.col("stale")] if "stale" in df.columns else []
-    return Series(df.select(*labels, ms.alias("ts"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"), *more, F.col(ts).alias("raw_ts")), tuple(labels))
+    return Series(df.select(*labels, ms.alias("ts"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"), *more, F.col(ts).alias("raw_ts")), tuple(labels), kind)
 
 
 def between(s: Series, after: int, until: int) -> Series:
@@ -60,7 +62,7 @@ def between(s: Series, after: int, until: int) -> Series:
         slack = 0 if kind == "timestamp" else 26 * 3_600_000  # local times may be off by a zone and an hour
         bound = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)
         df = df.where((F.col("raw_ts") >= bound(after + 1 - slack)) & (F.col("raw_ts") < bound(until + 1 + slack))).drop("raw_ts")
-    return Series(df.where((F.col("ts") > after) & (F.col("ts") <= until)), s.labels)
+    return replace(s, df=df.where((F.col("ts") > after) & (F.col("ts") <= until)))
 
 
 def matching(s: Series, *matchers: tuple[str, str, str]) -> Series:
@@ -70,7 +72,24 @@ def matching(s: Series, *matchers: tuple[str, str, str]) -> Series:
         have = F.coalesce(F.col(label).cast("string"), F.lit(""))
         hit = have == text if op in ("=", "!=") else have.rlike(f"^(?s:{text})$")
         df = df.where(hit if op in ("=", "=~") else ~hit)
-    return Series(df, s.labels)
+    return replace(s, df=df)
+
+
+#: Functions that read a counter's rises, and those that read a gauge's values.
+COUNTER_FUNCTIONS = ("rate", "increase", "irate", "resets")
+GAUGE_FUNCTIONS = ("delta", "idelta", "deriv", "predict_linear", "double_exponential_smoothing")
+
+
+class MetricKindWarning(UserWarning):
+    """A function was asked of a metric of another kind; its result is given all the same."""
+
+
+def check_kind(s: Series, fn: str) -> None:
+    """Refuses native histograms and warns where a function doesn't suit the metric's kind. Nothing is said of unknown kinds."""
+    if s.kind == "native_histogram":
+        raise ValueError(f"{fn}: native histograms aren't read; give their classic buckets")
+    if s.kind == "gauge" and fn in COUNTER_FUNCTIONS or s.kind == "counter" and fn in GAUGE_FUNCTIONS:
+        warnings.warn(f"{fn} is for a {'counter' if s.kind == 'gauge' else 'gauge'}, the metric is a {s.kind}", MetricKindWarning, stacklevel=3)
 
 
 # IEEE arithmetic, where Spark's ANSI mode raises errors and its NaN equals itself.
@@ -165,6 +184,9 @@ def _smoothing(sf: float, tf: float) -> Column:
 
 def over(s: Series, fn: str, times: Times, window: int, offset: int = 0, at: int | None = None, **args: float) -> Vector:
     """A range function per series and evaluation time. Series without an answer are left out."""
+    check_kind(s, fn)
+    fn = {"default_rollup": "last"}.get(fn, fn)
+    s = replace(s, kind="")
     if at is not None:
         return _spread(over(s, fn, Times(at, at), window, offset, **args), times)
     if "stale" in s.df.columns:
@@ -523,5 +545,25 @@ def histogram_quantile(v: Vector, q: float, le: str = "le") -> Vector:
 def info(v: Vector, facts: Vector, keys: Sequence[str] = ("instance", "job"), take: Sequence[str] | None = None) -> Vector:
     """Labels of an info metric for the series that share its identifying labels; others stay."""
     more = [x for x in facts.labels if x not in keys and x not in v.labels and (take is None or x in take)]
-    one = facts.df.select(*keys, "t", *more).dropDuplicates([*keys, "t"])
+    # one info series per identity, or the join would repeat series: of several the first by its labels
+    one = facts.df.groupBy(*keys, "t").agg(F.min(F.struct(*more)).alias("_facts")).select(*keys, "t", "_facts.*") if more else facts.df.select(*keys, "t").distinct()
     return Vector(v.df.join(one, [*keys, "t"], "left"), (*v.labels, *more))
+
+
+def over_groups(df: DataFrame, keys: Sequence[str], identity: Sequence[str], ts: str, value: str, kind: str, window: int, at: int) -> DataFrame:
+    """rate or increase of a table's samples per group, in the window (at - window, at] of milliseconds that ends at the bound evaluation time.
+
+    identity: the table's unique key. The groups must be its series, that is the key without the time: a rate over
+    samples of mixed series would take the change from one series to another for a rise."""
+    if kind not in ("rate", "increase"):
+        raise ValueError("rate or increase")
+    if set(keys) != set(identity) - {ts}:
+        raise ValueError(f"groups {sorted(keys)} aren't the series {sorted(set(identity) - {ts})}")
+    return over(series(df, ts, value, keys), kind, Times(at, at), window).df.drop("t")
+
+
+def trailing(df: DataFrame, ts: str, window: int, at: int) -> DataFrame:
+    """Rows with a time in (at - window, at] in milliseconds, at the bound evaluation time; the scan is pruned by literals."""
+    kind = df.schema[ts].dataType.simpleString()
+    bound = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)
+    return df.where((F.col(ts) > bound(at - window)) & (F.col(ts) <= bound(at)))

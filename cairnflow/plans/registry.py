@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.plans import relational, series_queries, summary_queries
+from cairnflow.plans import operator_queries, relational, series_queries, summary_queries
 from cairnflow.sources.tables import TABLES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,8 @@ _TEXTS = {name: (x, x) if isinstance(x, str) else x for name, x in relational.QU
 
 
 def queries() -> dict[str, Query]:
-    return {name: run_sql(spark_text) for name, (spark_text, _) in _TEXTS.items()} | series_queries.queries() | summary_queries.queries()
+    return {name: run_sql(spark_text) for name, (spark_text, _) in _TEXTS.items()} | series_queries.queries() | summary_queries.queries() | operator_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_text for name, (_, duck_text) in _TEXTS.items()} | series_queries.oracle_sql() | summary_queries.oracle_sql()
+    return {name: duck_text for name, (_, duck_text) in _TEXTS.items()} | series_queries.oracle_sql() | summary_queries.oracle_sql() | operator_queries.oracle_sql()

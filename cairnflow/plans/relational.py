@@ -116,7 +116,6 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "win_range_interval": "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events",
     "win_whole_partition": "SELECT n_name, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation",
     "win_default_range_peers": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size) AS upto FROM part",
-    "win_bonus_ntile": "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS q, round(percent_rank() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS p, round(cume_dist() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS c FROM supplier",
     # sort, limit, sets
     "sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20",
     "limit_offset": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 25",
@@ -183,7 +182,4 @@ QUERIES: dict[str, str | tuple[str, str]] = {
         JOIN (SELECT l_returnflag, count(*) / CAST((SELECT count(*) FROM lineitem WHERE l_quantity >= 25) AS DOUBLE) AS share FROM lineitem WHERE l_quantity >= 25 GROUP BY l_returnflag) b ON a.l_returnflag = b.l_returnflag""",
     "traffic_top_talkers": "SELECT l_suppkey AS srcip, count(DISTINCT l_partkey) AS fanout, round(sum(l_quantity), 2) AS bytes FROM lineitem GROUP BY l_suppkey ORDER BY fanout DESC, srcip LIMIT 20",
     "web_hits_by_hour": ("SELECT to_date(ts) AS day, hour(ts) AS hour, event_type, count(*) AS n FROM events GROUP BY to_date(ts), hour(ts), event_type", "SELECT CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3"),
-    "bonus_asof": ("""SELECT e.event_id, max_by(p.event_id, struct(p.ts, p.event_id)) AS before FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts < e.ts
-        WHERE e.event_type = 'error' GROUP BY e.event_id""",
-                   """SELECT e.event_id, p.event_id AS before FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts > p.ts"""),
 }

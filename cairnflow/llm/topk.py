@@ -9,8 +9,9 @@ sliced sum is found from the most significant slice downward; since the bits tha
 are bounded, every row that could still be among the k best is within a known
 distance of it, and those boundary rows are scored exactly.
 
-Blocks of queries meet blocks of rows (a stated query set against all rows); each pair yields
-k rows per query at most.
+Groups of queries meet blocks of rows (a stated query set against all rows); each pair yields
+k rows per query at most. A block is sent and unpacked once per group of some thousands of queries; wide vectors make
+blocks and groups of fewer rows, so that a pair's bytes are bounded at any width.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do
 rows without an id;
@@ -26,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bits kept of each attribute, rows of a block, queries of a block.
-SLICES, ROWS, QUERIES = 7, 16384, 256
+#: Bits kept of each attribute; rows of a block and queries of a group at most; and components of each at most, which bound their bytes.
+SLICES, ROWS, QUERIES = 7, 16384, 2048
+ROW_VALUES, QUERY_VALUES = 1 << 22, 1 << 19
 
 BLOCK = "dim int, block int, ids binary, vectors binary, least binary, cut binary, slices binary"
 
@@ -63,9 +65,16 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table([[x] for x in row], schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), *((n, pa.binary()) for n in ("ids", "vectors", "least", "cut", "slices"))]))
 
 
+def _count(vectors: DataFrame) -> tuple[int, int]:
+    """How many vectors there are, and the components of the widest."""
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()  # one row
+    return n, max(width, 1)
+
+
 def index(vectors: DataFrame, rows: int = ROWS) -> tuple[DataFrame, int]:
     """BLOCK rows, and how many blocks there are."""
-    blocks = max(1, -(-vectors.count() // rows))
+    n, width = _count(vectors)
+    blocks = max(1, -(-n // max(1, min(rows, ROW_VALUES // width))))
     keyed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     return keyed.groupBy("dim", "block").applyInArrow(_block, BLOCK), blocks
 
@@ -161,10 +170,11 @@ class Block:
 def top_k(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows. Both: whole_vectors()."""
     blocks, n = index(rows, block_rows)
-    groups = max(1, -(-queries.count() // QUERIES))
+    asked, width = _count(queries)
+    groups = max(1, -(-asked // max(1, min(QUERIES, QUERY_VALUES // width))))
     packed = (
         queries.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # QUERIES or so in each
+        .agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # about QUERIES in each, fewer if they are wide
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     )
     pairs = packed.join(blocks, ["dim", "block"]).select("dim", "ids", "vectors", "least", "cut", "slices", "queries")
@@ -174,7 +184,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = ROWS) -
             for i in range(batch.num_rows):
                 dim, ids, vectors, least, cut, slices, asked = (batch.column(c)[i] for c in range(7))
                 block = Block(dim.as_py(), ids.as_py(), vectors.as_py(), least.as_py(), cut.as_py(), slices.as_py())
-                out = [(q["id"], *block.best(q["id"], np.array(q["v"], np.int64), k)) for q in asked.as_py()]
+                own, v = asked.values.flatten()
+                v = v.flatten().to_numpy().reshape(len(own), block.dim)
+                out = [(q, *block.best(q, x, k)) for q, x in zip(own.to_pylist(), v, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x), pa.int64()) for x in ([np.full(len(o[1]), o[0]) for o in out], [o[1] for o in out], [o[2] for o in out])],
                     ["query_id", "vec_id", "score"],

@@ -58,3 +58,19 @@ def test_huge_components(spark):
     for q, found in got.items():
         exact = {k: max(-limit, min(limit - 1, sum(a * b for a, b in zip(fixed[q], c, strict=True)))) for k, c in fixed.items() if k != q}
         assert found == sorted(exact.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_many_groups_and_blocks_of_wide_vectors(spark, monkeypatch):
+    """Blocks and groups shrink with the width; results don't change."""
+    monkeypatch.setattr(topk, "ROW_VALUES", 8 * 90)
+    monkeypatch.setattr(topk, "QUERY_VALUES", 8 * 2)
+    rng = random.Random(4)
+    rows = [(i * 10, [rng.gauss(0, 0.3) for _ in range(8)], 1, "x") for i in range(300)]
+    rows += [(7 + i, [0.1, -0.2], 1, "x") for i in range(20)] + [(100_000, [0.3, 0.4], 1, "x")]  # another width
+    v = topk.whole_vectors(spark.createDataFrame(rows, SCHEMA), "id", "e", 1024)
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, v.where("id % 100 = 0"), 10).collect())
+    want = []
+    for width in (8, 2):
+        for q, best in brute([r for r in rows if len(r[1]) == width], 10).items():
+            want += [(q, i + 1, *b) for i, b in enumerate(best)]
+    assert found == sorted(want)
